@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import common, media, pieces, ridge, sharding, toxicity
+from gleanery.llm import common, lines, media, mixing, neardup, pieces, ridge, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,22 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, k=20)
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(common.crc("doc_id"), F.lit(3)) == 1
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.7)
@@ -40,5 +56,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op8_toxicity, op9_pieces, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_lines, op4_top_k, op6_near_duplicates, op7_mixing, op8_toxicity, op9_pieces, op10_sharding)}
+
+#: Words of one blank each and lower case, as the line operator normalises units; offsets count from 0.
+OP3_SQL = r"""
+WITH line AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
+), unit AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS unit,
+         unnest(list_transform(range(len(parts)), lambda k: coalesce(list_sum(list_transform(parts[1:k], lambda p: length(p) + 1)), 0))) AS start
+  FROM line
+), cut AS (
+  SELECT doc_id, unit, start, start + length(line) AS "end", regexp_extract_all(lower(line), '[^ 	]+') AS words FROM unit
+), ranked AS (
+  SELECT doc_id, unit, start, "end", row_number() OVER w AS place,
+         first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
+  FROM cut WHERE len(words) >= 10
+  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit)
+)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
+FROM ranked WHERE place > 1
+"""
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64.0 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_lines": OP3_SQL, "op4_top_k": OP4_SQL}
