@@ -15,9 +15,11 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm.common import map_arrow, pieces
 
@@ -96,14 +98,17 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return map_arrow(_rows(docs, id_col, text_col), _digester(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of each text: the ids with the end id, and the text they decode to."""
+def encode_rows(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """docs with `ids` (with the end id) and `decoded` (the text they decode to) in place of the text."""
+    others = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
-        for part in pieces(batches, "text", 2 << 20):
-            rows = [([int(i) for i in ids.split(" ")], text) for ids, _, text in table.encode_batch([t or "" for t in part.column("text").to_pylist()])]
+        for part in pieces(batches, text_col, 2 << 20):
+            rows = [(np.fromstring(ids, np.int32, sep=" "), text) for ids, _, text in table.encode_batch([t or "" for t in part.column(text_col).to_pylist()])]
             ids, text = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(text)], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(ids, pa.list_(pa.int32())), pa.array(text)], [*others, "ids", "decoded"])
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "id long, ids array<int>, decoded string")
+    kept = docs.select(*others, F.col(text_col).cast("string").alias(text_col))
+    schema = kept.drop(text_col).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    return map_arrow(kept, run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import common, lines, media, mixing, neardup, pieces, ridge, sharding, topk, toxicity
+from gleanery.llm import common, lines, media, mixing, neardup, pieces, ridge, sharding, suffix, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, k=20)
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -56,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_lines, op4_top_k, op6_near_duplicates, op7_mixing, op8_toxicity, op9_pieces, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_lines, op4_top_k, op5_suffix, op6_near_duplicates, op7_mixing, op8_toxicity, op9_pieces, op10_sharding)}
 
 #: Words of one blank each and lower case, as the line operator normalises units; offsets count from 0.
 OP3_SQL = r"""
@@ -67,7 +71,8 @@ WITH line AS (
          unnest(list_transform(range(len(parts)), lambda k: coalesce(list_sum(list_transform(parts[1:k], lambda p: length(p) + 1)), 0))) AS start
   FROM line
 ), cut AS (
-  SELECT doc_id, unit, start, start + length(line) AS "end", regexp_extract_all(lower(line), '[^ 	]+') AS words FROM unit
+  SELECT doc_id, unit, start, start + length(line) AS "end", regexp_extract_all(lower(line), '[^ 	
+]+') AS words FROM unit
 ), ranked AS (
   SELECT doc_id, unit, start, "end", row_number() OVER w AS place,
          first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit

@@ -73,8 +73,8 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(long[a : b - size + 1]))
         elif b > a:
-            whole = (h[a:b] * _LANES[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _LANES[63]
-            out.append(mix(np.array([whole], np.uint64)))
+            whole = np.append(h[a:b] * _LANES[: b - a], _LANES[63:] * np.uint64(b - a))
+            out.append(mix(whole.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
