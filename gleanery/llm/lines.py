@@ -1,11 +1,12 @@
 """Substring dedup by line or paragraph hashing.
 
-Texts are cut into units at a separator; each unit is normalised (lower case, blanks folded) and digested. A digest's
+Texts are cut into units: paragraphs, lines, or lines cut further at sentence ends (the default, which also finds passages
+that begin or end within a line). Each unit is normalised (lower case, blanks folded) and digested. A digest's
 earliest unit (least doc_id, then position) stays, every later one goes, and the offsets of what goes are those of the
 original text. Digests that many units share are counted before they meet their units, in two ways: the few that hold at
 least 1/HEAVY of all units (HEAVY at most, by arithmetic) are broadcast, the others are joined.
 
-Units of fewer than `least_words` words always stay, and so does text between units.
+Units of fewer than `least_words` words always stay. Units cover the whole text, their punctuation and line feeds too.
 
 Defined results: null and empty texts have no units; a unit repeated within a document goes too; rows that repeat an id
 are ranked by text and count as the same document; rows with a null id come last.
@@ -24,25 +25,28 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import as_table, map_arrow, pieces
 
 HEAVY = 10_000
-LEAST_WORDS = 10
+LEAST_WORDS = 8
+SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+LINE = r"[^\n]*\n|[^\n]+"
+PARAGRAPH = r"(?:[^\n]|\n(?!\n))*\n\n+|(?:[^\n]|\n(?!\n))+"
 WORD = re.compile(r"[^ \t\r\n\x0b\x0c]+")
 
 
-def _cutter(separator: str, least_words: int):
+def _cutter(pattern: str, least_words: int):
+    cut = re.compile(pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             ids, unit, start, end, digest = [], [], [], [], []
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                at = 0
-                for k, line in enumerate(text.split(separator) if text else ()):
-                    words = WORD.findall(line.lower())
+                for k, m in enumerate(cut.finditer(text) if text else ()):
+                    words = WORD.findall(m[0].lower())
                     if len(words) >= least_words:
                         ids.append(i)
                         unit.append(k)
-                        start.append(at)
-                        end.append(at + len(line))
+                        start.append(m.start())
+                        end.append(m.end())
                         digest.append(hashlib.md5(" ".join(words).encode()).digest())
-                    at += len(line) + len(separator)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(unit, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["doc_id", "unit", "start", "end", "digest"])
 
     return run
@@ -51,15 +55,15 @@ def _cutter(separator: str, least_words: int):
 UNITS = "doc_id long, unit int, start int, end int, digest binary"
 
 
-def units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit, start, end, digest) of each unit with least_words words or more; offsets count characters."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, _cutter(separator, least_words), UNITS)
+    return map_arrow(rows, _cutter(pattern, least_words), UNITS)
 
 
-def repeated_units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit, start, end, keep_doc_id, keep_unit): each unit to remove, with the occurrence that stays."""
-    cut = as_table(units(docs, separator, least_words, id_col, text_col), "units")
+    cut = as_table(units(docs, pattern, least_words, id_col, text_col), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "start")
     digests = as_table(cut.groupBy("digest").agg(F.count("*").alias("count"), F.min(rank).alias("first")).where("count > 1"), "digests")
     bar = (cut.count() + HEAVY - 1) // HEAVY
@@ -74,7 +78,7 @@ def repeated_units(docs: DataFrame, separator: str = "\n", least_words: int = LE
 def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs whose text lacks the removed units, with `removed_spans`: their [start, end) in the original text.
 
-    Rows that share an id share its spans. The separators around a removed unit stay."""
+    Rows that share an id share its spans."""
     spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.col("removed_spans")[k - 1]["end"])

@@ -65,18 +65,17 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_lines, op4_top_k,
 #: Words of one blank each and lower case, as the line operator normalises units; offsets count from 0.
 OP3_SQL = r"""
 WITH line AS (
-  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
+  SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
+), piece AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS unit FROM line
 ), unit AS (
-  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS unit,
-         unnest(list_transform(range(len(parts)), lambda k: coalesce(list_sum(list_transform(parts[1:k], lambda p: length(p) + 1)), 0))) AS start
-  FROM line
+  SELECT doc_id, line, unit, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY unit) AS "end" FROM piece
 ), cut AS (
-  SELECT doc_id, unit, start, start + length(line) AS "end", regexp_extract_all(lower(line), '[^ 	
-]+') AS words FROM unit
+  SELECT doc_id, unit, "end" - length(line) AS start, "end", regexp_extract_all(lower(line), '[^ \t\r\n\x0b\x0c]+') AS words FROM unit
 ), ranked AS (
   SELECT doc_id, unit, start, "end", row_number() OVER w AS place,
          first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM cut WHERE len(words) >= 10
+  FROM cut WHERE len(words) >= 8
   WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit)
 )
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
