@@ -125,9 +125,15 @@ def _millis(text: str | None) -> int | None:
         return None
 
 
-@F.pandas_udf(LongType())
-def lenient_millis(text: pd.Series) -> pd.Series:
-    return pd.Series([_millis(t) for t in text], dtype="Int64")
+def lenient_millis(x) -> Column:
+    """Milliseconds of a lenient date, null where it is none."""
+    parse_one = _millis
+
+    @F.pandas_udf(LongType())
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([parse_one(t) for t in text], dtype="Int64")
+
+    return run(x)
 
 
 def lenient_date(x) -> Column:

@@ -6,7 +6,6 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import pairwise
 
 from gleanery.functions.xmltree import ATTR, DOC, ELEM, TEXT, XML_NS, Node
@@ -270,7 +269,7 @@ EXTENSIONS: dict[str, Callable] = {}
 def extension(uri: str, name: str, function: Callable) -> None:
     """Make function(context, *values) callable as prefix:name, prefix bound to uri."""
     EXTENSIONS[f"{{{uri}}}{name}"] = function
-    compile_xpath.cache_clear()
+    _compiled.clear()
 
 
 Closure = Callable[[Context], object]
@@ -512,16 +511,26 @@ class Parser:
         return lambda c: function(c, *(a(c) for a in args))
 
 
-@lru_cache(maxsize=4096)
-def _compiled(text: str, namespaces: tuple[tuple[str, str], ...]) -> Closure:
-    return Parser(text, dict(namespaces)).parse()
+class Cache(dict):
+    """A cache of a process: it travels to executors empty, and starts anew when it is full."""
 
+    def __reduce__(self):
+        return Cache, ()
+
+    def get_or_make(self, key, make: Callable):
+        if key not in self:
+            if len(self) >= 4096:
+                self.clear()
+            self[key] = make()
+        return self[key]
 
-def compile_xpath(text: str, namespaces: dict[str, str] | None = None) -> Closure:
-    return _compiled(text, tuple(sorted((namespaces or {}).items())))
 
+_compiled = Cache()
 
-compile_xpath.cache_clear = _compiled.cache_clear
+
+def compile_xpath(text: str, namespaces: dict[str, str] | None = None) -> Closure:
+    key = (text, tuple(sorted((namespaces or {}).items())))
+    return _compiled.get_or_make(key, lambda: Parser(text, dict(namespaces or {})).parse())
 
 
 def evaluate(text: str, node: Node, namespaces: dict[str, str] | None = None, variables: dict[str, object] | None = None):

@@ -7,8 +7,6 @@ Python, and filters on other columns pass below the UDF to the scan.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,9 +109,7 @@ class Evaluator:
             return None, f"{type(e).__name__}: {e}", none
 
 
-@lru_cache(maxsize=8)
-def _template(text: str) -> Template:
-    return Template(text)
+_templates = X.Cache()
 
 
 def _typed(spec: FieldSpec, raw: Column) -> tuple[Column, Column]:
@@ -197,7 +193,7 @@ def transformed(docs: DataFrame, expression: Expression | None, source: str, par
                 doc = parse(x)
                 if expression is not None:
                     system = dict(zip(SYSTEM_VARIABLES, (source, i or "", d or ""), strict=True))
-                    doc = _template(expression.text).document(doc, {**given, **system})
+                    doc = _templates.get_or_make(expression.text, lambda: Template(expression.text)).document(doc, {**given, **system})
                 out.append((serialize(doc), None))
             except ValueError as e:
                 out.append((None, str(e)))
@@ -249,6 +245,21 @@ def validated(docs: DataFrame, spec: PipelineSpec) -> DataFrame:
     return done.withColumn("xml", xml).withColumn("schema_errors", F.col("_v.errors")).drop("_v")
 
 
+def _shower(kind: T.DataType, is_json: bool):
+    """A function from a value's Column to its JSON text."""
+
+    def show(v: Column) -> Column:
+        if is_json:
+            return v
+        if isinstance(kind, T.TimestampType):
+            return F.concat(F.lit('"'), scalars.index_text(v), F.lit('"'))
+        if isinstance(kind, (T.BooleanType, T.LongType)):
+            return v.cast("string")
+        return F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+
+    return show
+
+
 def rendered(table: DataFrame, spec: PipelineSpec, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(id, json): one value as scalar, several as array, none left out; JSON fields as objects."""
     parts = []
@@ -257,9 +268,8 @@ def rendered(table: DataFrame, spec: PipelineSpec, exclude: tuple[str, ...] = ()
         if name == "id" or name in exclude:
             continue
         own = next((x for x in spec.fields if x.name == name), None)
-        show = lambda v, k=kind.elementType if isinstance(kind, T.ArrayType) else kind, o=own: (
-            v if o is not None and o.datatype == "JSON" else F.concat(F.lit('"'), scalars.index_text(v), F.lit('"')) if isinstance(k, T.TimestampType) else v.cast("string") if isinstance(k, T.BooleanType | T.LongType) else F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
-        )
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        show = _shower(inner, own is not None and own.datatype == "JSON")
         col = F.col(f"`{name}`")
         if isinstance(kind, T.ArrayType):
             items = F.transform(col, show)

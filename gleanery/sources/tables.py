@@ -6,7 +6,7 @@ import zlib
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,19 +39,22 @@ def table_source(spark: SparkSession, source: SourceSpec, watermark: datetime |
     return Scan(found, watermark=newest(found))
 
 
-@F.pandas_udf(T.StringType())
-def inflated(content: pd.Series) -> pd.Series:
+def inflated(column) -> Column:
     """UTF-8 text of zlib streams; plain bytes stay."""
 
-    def one(b):
-        if b is None:
-            return None
-        try:
-            return zlib.decompress(b).decode()
-        except zlib.error:
-            return bytes(b).decode("utf-8", "replace")
+    @F.pandas_udf(T.StringType())
+    def run(content: pd.Series) -> pd.Series:
+        def one(b):
+            if b is None:
+                return None
+            try:
+                return zlib.decompress(b).decode()
+            except zlib.error:
+                return bytes(b).decode("utf-8", "replace")
 
-    return content.map(one)
+        return content.map(one)
+
+    return run(column)
 
 
 def legacy_documents(table: DataFrame, source: str, prefix: str = "", query_string: str | None = None) -> DataFrame:
