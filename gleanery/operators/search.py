@@ -21,7 +21,7 @@ def _any(schema: T.StructType, name: str, test) -> Column:
     if field is None:
         return F.lit(False)
     col = F.col(f"`{name}`")
-    out = F.exists(col, test) if isinstance(field.dataType, T.ArrayType) else test(col)
+    out = F.exists(col, lambda v: test(v)) if isinstance(field.dataType, T.ArrayType) else test(col)
     return F.coalesce(out, F.lit(False))
 
 

@@ -33,7 +33,7 @@ def directory(spark: SparkSession, source: SourceSpec, watermark: datetime | Non
     after = quote("/" + plain.strip("/") + "/", safe="/%:")
     relative = F.coalesce(F.nullif(F.substring_index("path", after, -1), F.col("path")), F.substring_index("path", "/" + plain.strip("/") + "/", -1))
     ids = F.concat(F.lit("file:" + source.options.get("identifierPrefix", "")), relative)
-    found = files.select(ids.alias("identifier"), F.col("modificationTime").alias("datestamp"), F.decode("content", F.lit("UTF-8")).alias("xml"))
+    found = files.select(ids.alias("identifier"), F.col("modificationTime").alias("datestamp"), F.decode("content", "UTF-8").alias("xml"))
     return Scan(raw(found, source.id), watermark=newest(found))
 
 
