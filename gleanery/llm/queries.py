@@ -44,7 +44,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0)
+    return mixed.withColumn("mix_rate", F.round("mix_rate", 6))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,47 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_lines": OP3_SQL, "op4_top_k": OP4_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM word
+), shingle AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM pair WHERE 100 * c >= 80 * (n + m - c) UNION ALL SELECT y, x FROM pair WHERE 100 * c >= 80 * (n + m - c)
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.root
+), component AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN component USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH RECURSIVE doc AS (
+  SELECT *, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS name FROM documents
+), size AS (
+  SELECT s, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM doc GROUP BY s
+), total AS (
+  SELECT CAST(sum(CAST(round(pow(size, 0.5), 6) AS DECIMAL(30, 6))) AS DOUBLE) AS w, sum(size) AS size FROM size
+), rate AS (
+  SELECT s, CASE WHEN size.size > 0 THEN least(50.0, pow(size.size, 0.5) / total.w * total.size * 1.0 / size.size) ELSE 0.0 END AS rate FROM size, total
+), law AS (
+  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS below FROM rate WHERE rate > 0
+  UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM law WHERE k < 160
+), drawn AS (
+  SELECT doc.*, rate.rate, CAST('0x' || substr(md5('mix|' || name), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM doc JOIN rate USING (s)
+), counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.name, d.rate, (SELECT count(*) FROM law WHERE law.s = d.s AND d.u >= law.below) AS copies FROM drawn d
+), copy AS (
+  SELECT *, unnest(range(copies)) AS copy FROM counted
+)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, CAST(copies AS INTEGER) AS mix_copies, CAST(copy AS INTEGER) AS mix_copy,
+  CAST('0x' || substr(md5('mix|place|' || name || '|' || copy), 1, 13) AS BIGINT) / 4503599627370496.0 AS mix_place
+FROM copy
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_lines": OP3_SQL, "op4_top_k": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op7_mixing": OP7_SQL}
