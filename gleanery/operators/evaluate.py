@@ -46,8 +46,8 @@ class Evaluator:
         self.filters = [(accept, made(e)) for accept, e in spec.filters]
         self.fields = [(f, made(f.expression)) for f in spec.fields]
 
-    def scope(self, doc: Node, source: str, identifier: str, datestamp: str) -> dict[str, object]:
-        system = dict(zip(SYSTEM_VARIABLES, (source or "", identifier or "", datestamp or ""), strict=True))
+    def scope(self, doc: Node, source: str, identifier: str, datestamp: str, more: dict[str, str] | None = None) -> dict[str, object]:
+        system = dict(zip(SYSTEM_VARIABLES, (source or "", identifier or "", datestamp or ""), strict=True)) | {k: v or "" for k, v in (more or {}).items()}
         scope: dict[str, object] = {f"{{{uri}}}{k}": v for uri in self.spec.system_namespaces for k, v in system.items()}
         scope |= system
         for name, is_template, run in self.variables:
@@ -97,11 +97,11 @@ class Evaluator:
                 out.append(value)
         return out
 
-    def run(self, xml: str, source: str, identifier: str, datestamp: str) -> tuple[bool | None, str | None, list[list[str] | None]]:
+    def run(self, xml: str, source: str, identifier: str, datestamp: str, more: dict[str, str] | None = None) -> tuple[bool | None, str | None, list[list[str] | None]]:
         none: list[list[str] | None] = [None] * len(self.fields)
         try:
             doc = parse(xml)
-            scope = self.scope(doc, source, identifier, datestamp)
+            scope = self.scope(doc, source, identifier, datestamp, more)
             if not self.accepts(doc, scope):
                 return False, None, none
             return True, None, [self.values(f, run, doc, scope) for f, run in self.fields]
@@ -132,19 +132,21 @@ def _typed(spec: FieldSpec, raw: Column) -> tuple[Column, Column]:
     return typed, F.coalesce(F.exists(typed, lambda v: v.isNull()), F.lit(False))
 
 
-def evaluated(docs: DataFrame, spec: PipelineSpec, source: str, policy: str = "STOP") -> DataFrame:
-    """Change rows (id, op, error, seq, internal columns, fields, xml) of raw documents.
+def evaluated(docs: DataFrame, spec: PipelineSpec, source: str, policy: str = "STOP", more: dict[str, Column] | None = None) -> DataFrame:
+    """Change rows (id, op, error, seq, internal columns, fields, xml) of raw documents. `more` adds system variables:
+    names with string columns of docs.
 
     Tombstones, documents without XML and rejected documents become deletes; rows without identifier are left out."""
     spec.check()
     names = [f"f{k}" for k in range(len(spec.fields))]
     schema = T.StructType([T.StructField("accept", T.BooleanType()), T.StructField("error", T.StringType()), *(T.StructField(n, T.ArrayType(T.StringType())) for n in names)])
     holder: dict[str, Evaluator] = {}
+    extra = list(more or {})
 
     @F.pandas_udf(schema)
-    def run(xml: pd.Series, identifier: pd.Series, datestamp: pd.Series) -> pd.DataFrame:
+    def run(xml: pd.Series, identifier: pd.Series, datestamp: pd.Series, given: pd.Series) -> pd.DataFrame:
         own = holder.setdefault("one", Evaluator(spec)) if "one" not in holder else holder["one"]
-        rows = [own.run(x, source, i, d) if x is not None else (None, None, [None] * len(names)) for x, i, d in zip(xml, identifier, datestamp, strict=True)]
+        rows = [own.run(x, source, i, d, dict(zip(extra, g, strict=True)) if extra else None) if x is not None else (None, None, [None] * len(names)) for x, i, d, g in zip(xml, identifier, datestamp, given, strict=True)]
         out = {"accept": pd.Series([r[0] for r in rows], dtype="boolean"), "error": pd.Series([r[1] for r in rows], dtype="object")}
         for k, n in enumerate(names):
             out[n] = pd.Series([r[2][k] for r in rows], dtype="object")
@@ -153,7 +155,7 @@ def evaluated(docs: DataFrame, spec: PipelineSpec, source: str, policy: str = "S
     rows = docs.where(F.col("identifier").isNotNull())
     live = ~F.coalesce(F.col("deleted"), F.lit(False)) & F.col("xml").isNotNull()
     stamp = F.coalesce(scalars.index_text("datestamp"), F.lit(""))
-    rows = rows.withColumn("_e", run(F.when(live, F.col("xml")), F.col("identifier"), stamp))
+    rows = rows.withColumn("_e", run(F.when(live, F.col("xml")), F.col("identifier"), stamp, F.array(*(more[k].cast("string") for k in extra)).cast("array<string>")))
     columns, failed = [], F.lit(None).cast("string")
     for f, n in zip(spec.fields, names, strict=True):
         typed, bad = _typed(f, F.col(f"_e.{n}"))

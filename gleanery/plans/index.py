@@ -46,13 +46,13 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
+    def write(self, path: str, text: str | bytes) -> None:
         """Replace a file: write beside it, then rename over it."""
         fs, p = self._at(path)
         _, fresh = self._at(path + ".new")
         stream = fs.create(fresh, True)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(text.encode() if isinstance(text, str) else text))
         finally:
             stream.close()
         options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.conf)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import shutil
+import tempfile
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +18,13 @@ from gleanery.functions.xmljson import to_json
 from gleanery.functions.xmltree import parse
 from gleanery.operators import merge, search, verdict
 from gleanery.operators.evaluate import evaluated, rendered, transformed, validated
-from gleanery.plans.config import Expression, FieldSpec, PipelineSpec
-from gleanery.plans.run import stored_documents
-from gleanery.sources.base import raw
+from gleanery.plans.config import Config, Expression, FieldSpec, IndexSpec, PipelineSpec, SourceSpec
+from gleanery.plans.index import Files, Index
+from gleanery.plans.run import harvest, harvest_source, rebuild, stored_documents
+from gleanery.sources.base import Scan, open_source, raw
 from gleanery.sources.tables import legacy_documents, table_documents
 from gleanery.sources.web import frontier, page_links
-from gleanery.streaming.push import sessions
+from gleanery.streaming.push import sessions, stream
 
 NS = "urn:example:order"
 QUERIES: dict = {}
@@ -507,3 +515,111 @@ def multi_value_counts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
 
+
+
+# ---- whole runs, in a folder of their own
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/gleanery/run-{uuid.uuid4().hex}"
+    own = tempfile.mkdtemp(prefix="gleanery-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+PEOPLE = PipelineSpec([FieldSpec("name", Expression("/c/n")), FieldSpec("balance", Expression("/c/b"), "NUMBER")])
+
+
+def people(spark, sf_dir, name=None) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    xml = F.concat(F.lit("<c><n>"), name if name is not None else F.col("c_name"), F.lit("</n><b>"), F.col("c_acctbal").cast("string"), F.lit("</b></c>"))
+    return raw(c.select(F.col("c_custkey").cast("string").alias("identifier"), xml.alias("xml"), F.col("c_custkey").alias("seq")), "people")
+
+
+def people_config(aliases=None) -> Config:
+    return Config(PEOPLE, [IndexSpec("people", ("_v1", "_v2"), aliases=aliases or {}, sources=[SourceSpec("people", "noop")])])
+
+
+def people_rows(index: DataFrame) -> DataFrame:
+    return index.select(F.col("id").cast("bigint").alias("k"), F.get("name", F.lit(0)).alias("name"), F.get("balance", F.lit(0)).alias("balance"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'changed' ELSE c_name END AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0""")
+def index_lifecycle(spark, sf_dir):
+    """Two runs into an index: upserts, then removal of what the second run has not seen."""
+    config, root = people_config(), scratch(spark)
+    index = Index(spark, root, config.indexes[0], PEOPLE)
+    source, k = config.indexes[0].sources[0], F.col("c_custkey")
+    harvest_source(spark, index, source, index.create(), lambda *a: Scan(people(spark, sf_dir)))
+    second = people(spark, sf_dir, F.when(k % 5 == 0, F.lit("changed")).otherwise(F.col("c_name"))).where("seq % 3 <> 0")
+    harvest_source(spark, index, source, index.create(), lambda *a: Scan(second))
+    return people_rows(index.read())
+
+
+@query("SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal >= 5000")
+def index_rebuild_alias(spark, sf_dir):
+    """A rebuild beside the live index, the swap, and a filtered alias on the result."""
+    config, root = people_config({"rich": '{"range": {"balance": {"gte": 5000}}}'}), scratch(spark)
+    index = Index(spark, root, config.indexes[0], PEOPLE)
+    harvest_source(spark, index, config.indexes[0].sources[0], index.create(), lambda *a: Scan(people(spark, sf_dir)))
+    report = rebuild(spark, config, root)
+    if report.errors or index.current() != "people_v2":
+        raise RuntimeError(f"the rebuild failed: {report.errors}")
+    return people_rows(index.alias("rich"))
+
+
+@query("SELECT 'file:' || n_nationkey || '.xml' AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'zip:a/' || n_nationkey || '.xml', n_name FROM nation WHERE n_nationkey % 2 = 1")
+def directory_and_zip(spark, sf_dir):
+    """A directory and an archive feed one index; names must match a pattern."""
+    root, files = scratch(spark), Files(spark)
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows, to lay out the input
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for k, name in rows:
+            xml = f"<c><n>{name}</n></c>"
+            if k % 2:
+                z.writestr(f"a/{k}.xml", xml)
+            else:
+                files.write(f"{root}/in/{k}.xml", xml)
+    files.write(f"{root}/in/note.txt", "no document")
+    files.write(f"{root}/z.zip", packed.getvalue())
+    like = {"filenameFilter": ".*[.]xml"}
+    sources = [SourceSpec("d", "directory", {"directory": f"{root}/in", **like}), SourceSpec("z", "zip", {"zipFile": f"{root}/z.zip", **like})]
+    config = Config(PEOPLE, [IndexSpec("mixed", ("_v1", "_v2"), sources=sources)])
+    report = harvest(spark, config, f"{root}/out")
+    if report.errors:
+        raise RuntimeError(str(report.errors))
+    return Index(spark, f"{root}/out", config.indexes[0], PEOPLE).read().select("id", F.get("name", F.lit(0)).alias("name"))
+
+
+@query("SELECT 'r:' || n_nationkey AS identifier, n_regionkey <> 1 AS deleted, '<c><n>' || n_name || '</n></c>' AS xml FROM nation")
+def oai_static_scan(spark, sf_dir):
+    """Records of a static repository, one format and one set of several."""
+    root = scratch(spark)
+    rows = table(spark, sf_dir, "nation").collect()  # 25 rows, to lay out the input
+    record = "<o:record><o:header><o:identifier>{0}</o:identifier><o:datestamp>2020-01-01</o:datestamp><o:setSpec>s{2}</o:setSpec></o:header><o:metadata><c><n>{1}</n></c></o:metadata></o:record>"
+    body = "".join(record.format(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in rows)
+    head = '<Repository xmlns="http://www.openarchives.org/OAI/2.0/static-repository" xmlns:o="http://www.openarchives.org/OAI/2.0/">'
+    text = f'{head}<ListRecords metadataPrefix="c">{body}</ListRecords><ListRecords metadataPrefix="d">{record.format(99, "x", 1)}</ListRecords></Repository>'.replace("<c>", '<c xmlns="">')
+    Files(spark).write(f"{root}/r.xml", text)
+    scan = open_source(spark, SourceSpec("r", "oai_static", {"url": f"{root}/r.xml", "metadataPrefix": "c", "setSpec": "s1", "identifierPrefix": "r:"}))
+    return scan.documents.select("identifier", "deleted", "xml")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS name FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def push_stream(spark, sf_dir):
+    """Pushed changes through a stream: the last change of each id wins, some are deletes."""
+    root = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    pushed = e.select(
+        F.lit("people").alias("source"), F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("index")).alias("op"), F.col("user_id").cast("string").alias("identifier"),
+        F.lit(None).cast("timestamp").alias("last_modified"), F.concat(F.lit("<c><n>"), "event_type", F.lit("</n></c>")).alias("xml"), F.col("event_id").alias("seq"),
+    )
+    pushed.write.json(f"{root}/landing")
+    config = people_config()
+    done = stream(spark, config, f"{root}/out", f"{root}/landing", f"{root}/state")
+    done.awaitTermination()
+    return Index(spark, f"{root}/out", config.indexes[0], PEOPLE).read().select("id", F.get("name", F.lit(0)).alias("name"))

@@ -9,7 +9,7 @@ from urllib.parse import urlencode
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from gleanery.functions.scalars import oai_date
 from gleanery.functions.xmltree import ELEM, Node, parse, serialize
@@ -22,7 +22,7 @@ OAI = "http://www.openarchives.org/OAI/2.0/"
 STATIC = "http://www.openarchives.org/OAI/2.0/static-repository"
 #: Fixed values of the protocol: granularities that a repository may name.
 DAY, SECOND = "YYYY-MM-DD", "YYYY-MM-DDThh:mm:ssZ"
-RECORD = "identifier string, status string, date string, sets array<string>, xml string"
+RECORD = "identifier string, status string, date string, sets array<string>, xml string, seq long"
 
 
 class OaiError(RuntimeError):
@@ -108,19 +108,58 @@ class _Reader(DataSourceReader):
 
     def read(self, _) -> Iterator[pa.RecordBatch]:
         o = self.o
-        policy = Policy(int(o.get("retrycount", 5)), float(o.get("retryafterseconds", 60)), float(o.get("timeoutafterseconds", 180)), o.get("authorizationheader"))
         since = datetime.fromisoformat(o["since"]) if o.get("since") else None
         sets = [s for s in o.get("sets", "").split(" ") if s]
+        policy, seq = _policy(o), 0
         for records, date in pages(o["baseurl"], o["metadataprefix"], sets, since, lambda url: fetch(url, policy)):
             rows = records or [{"identifier": None, "status": None, "date": None, "sets": [], "xml": None}]
-            yield pa.RecordBatch.from_pylist([{**r, "response_date": date} for r in rows], SCHEMA)
+            yield pa.RecordBatch.from_pylist([{**r, "seq": seq + k, "response_date": date} for k, r in enumerate(rows)], SCHEMA)
+            seq += len(rows)
 
 
-SCHEMA = pa.schema([("identifier", pa.string()), ("status", pa.string()), ("date", pa.string()), ("sets", pa.list_(pa.string())), ("xml", pa.string()), ("response_date", pa.string())])
+def _policy(o: dict[str, str]) -> Policy:
+    return Policy(int(o.get("retrycount", 5)), float(o.get("retryafterseconds", 60)), float(o.get("timeoutafterseconds", 180)), o.get("authorizationheader"))
+
+
+class StreamReader(SimpleDataSourceStreamReader):
+    """A page a batch; the offset is the resumption token, so a harvest goes on where it stopped while the token lives."""
+
+    def __init__(self, options: dict[str, str], get: Callable[[str], Response] | None = None):
+        self.o = options
+        policy = _policy(options)
+        self.get = get or (lambda url: fetch(url, policy))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"token": "", "seq": 0, "done": 0}
+
+    def _page(self, start: dict) -> tuple[list[tuple], dict]:
+        o, sets = self.o, [s for s in self.o.get("sets", "").split(" ") if s]
+        if start["done"]:
+            return [], start
+        if start["token"]:
+            url = query_url(o["baseurl"], verb="ListRecords", resumptionToken=start["token"])
+        else:
+            url = query_url(o["baseurl"], verb="ListRecords", metadataPrefix=o["metadataprefix"], **({"set": sets[0]} if len(sets) == 1 else {}))
+        records, token, date = page(_body(self.get(url)))
+        rows = [(r["identifier"], r["status"], r["date"], r["sets"], r["xml"], start["seq"] + k, date) for k, r in enumerate(records)]
+        return rows, {"token": token or "", "seq": start["seq"] + len(rows), "done": int(token is None)}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._page(start)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return iter(self._page(start)[0])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+SCHEMA = pa.schema([("identifier", pa.string()), ("status", pa.string()), ("date", pa.string()), ("sets", pa.list_(pa.string())), ("xml", pa.string()), ("seq", pa.int64()), ("response_date", pa.string())])
 
 
 class OaiDataSource(DataSource):
-    """spark.read.format("oai"): options baseUrl, metadataPrefix, sets, since (ISO) and those of retries."""
+    """spark.read.format("oai"), or readStream: options baseUrl, metadataPrefix, sets, since (ISO) and those of retries."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,6 +171,9 @@ class OaiDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return StreamReader({k.lower(): v for k, v in self.options.items()})
+
 
 def documents(records: DataFrame, source: SourceSpec) -> DataFrame:
     """Raw documents of records: ids prefixed, dates strict (unless ignoreDatestamps, or deleted), set membership."""
@@ -145,6 +187,7 @@ def documents(records: DataFrame, source: SourceSpec) -> DataFrame:
         (F.lit(None).cast("timestamp") if ignore else strict).alias("datestamp"),
         (gone | ~in_sets("sets", sets if len(sets) > 1 or source.kind == "oai_static" else [])).alias("deleted"),
         "xml",
+        "seq",
     )
     return raw(rows, source.id)
 
@@ -203,7 +246,7 @@ def static_source(spark: SparkSession, source: SourceSpec, watermark: datetime |
     def run(batches):
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                yield pa.RecordBatch.from_pylist([{**r, "response_date": None} for r in static_records(content, prefix)], SCHEMA)
+                yield pa.RecordBatch.from_pylist([{**r, "seq": k, "response_date": None} for k, r in enumerate(static_records(content, prefix))], SCHEMA)
 
     records = body.select("content").mapInArrow(run, RECORD + ", response_date string")
     return Scan(documents(records, source), incremental=False, only_live=True, watermark=changed)

@@ -14,7 +14,7 @@ from gleanery.plans.index import Index
 from gleanery.plans.run import LAST, harvest, rebuild, update_aliases
 from gleanery.sources.base import Scan, raw, register
 from gleanery.sources.http import Policy, Response, decoded, fetch
-from gleanery.sources.oai import OaiError, page, pages, static_source
+from gleanery.sources.oai import OaiError, StreamReader, page, pages, static_source
 from gleanery.sources.web import crawl, links
 from gleanery.streaming.push import EVENT, Front, committed, stream
 
@@ -271,3 +271,19 @@ def test_spec_checks():
     with pytest.raises(ConfigError):
         PipelineSpec([FieldSpec("a", Expression("/a["))]).check()
     assert FieldSpec("x", Expression("/a"), "BOOLEAN", "yes").default == "yes"
+
+
+def test_oai_stream_offsets():
+    head = f"<OAI-PMH {OAI}><responseDate>2020-01-05T00:00:00Z</responseDate><ListRecords>"
+    rec = lambda i: f"<record><header><identifier>{i}</identifier><datestamp>2020-01-01</datestamp></header><metadata><r/></metadata></record>"
+    bodies = {"": head + rec(1) + rec(2) + "<resumptionToken>t</resumptionToken></ListRecords></OAI-PMH>", "t": head + rec(3) + "</ListRecords></OAI-PMH>"}
+    reader = StreamReader({"baseurl": "http://x", "metadataprefix": "p"}, lambda url: Response(url, 200, {}, bodies["t" if "resumptionToken=t" in url else ""].encode()))
+    one, end = reader.read(reader.initialOffset())
+    two, last = reader.read(end)
+    assert [(r[0], r[5]) for r in (*one, *two)] == [("1", 0), ("2", 1), ("3", 2)] and list(reader.read(last)[0]) == [] and [r[0] for r in reader.readBetweenOffsets(end, last)] == ["3"]
+
+
+def test_own_system_variables(spark):
+    spec = PipelineSpec([FieldSpec("who", Expression("concat($docIdentifier, '/', $place)"))])
+    got = evaluated(docs(spark, ("a", "<r/>", None, False)).withColumn("p", F.lit("here")), spec, "s", more={"place": F.col("p")})
+    assert got.first()["who"] == ["a/here"]
