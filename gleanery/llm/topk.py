@@ -28,6 +28,8 @@ from gleanery.llm.common import as_table, map_arrow, n_partitions
 QUERY_BLOCK = 8192
 SEED = 2048
 BLOCK = 1024
+#: So many queries meet a block of vectors at a time.
+ROWS = 512
 #: Part of the rotated components that is summed before the bound.
 HEAD = 0.5
 
@@ -59,14 +61,20 @@ def _padded(column, d: int) -> np.ndarray:
     return out
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of matching rows; floats do while they hold all integers that can occur."""
-    if not q.size or not x.size:
-        return np.zeros(len(q), object)
-    largest = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
-    if largest < 2**53:
-        return (q.astype(np.float64) * x).sum(axis=1).astype(np.int64)
-    return np.clip((q.astype(object) * x.astype(object)).sum(axis=1), -(2**63), 2**63 - 1)
+def scored(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows q[i] and x[j]; floats do while they hold all integers that can occur."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+        if 8 * len(i) > len(q) * len(x):  # most pairs are wanted: all at once is cheaper
+            return (q.astype(np.float64) @ x.T.astype(np.float64))[i, j].astype(np.int64)
+        q, x, kind = q.astype(np.float64), x.astype(np.float64), np.float64
+    else:
+        q, x, kind = q.astype(object), x.astype(object), object
+    out = np.zeros(len(i), kind)
+    for lo in range(0, len(i), 16_384):
+        out[lo : lo + 16_384] = (q[i[lo : lo + 16_384]] * x[j[lo : lo + 16_384]]).sum(axis=1)
+    return out.astype(np.int64) if kind is np.float64 else np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -93,22 +101,24 @@ def _searcher(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, rot
                     continue  # shorter vectors of this task can't do better, but the next batch may be another file's
                 r = x.astype(np.float64) @ rotation
                 rest = np.sqrt((r[:, head:] ** 2).sum(axis=1))
-                bound = q[live, :head] @ r[:, :head].T + q_rest[live, None] * rest
-                i, j = np.nonzero(bound + slack[live, None] >= least[live, None])
-                i = live[i]
-                other = query_ids[i] != ids[j]
-                i, j = i[other], j[other]
-                score = exact(queries[i], x[j]).astype(np.int64)
-                edge = np.searchsorted(i, np.arange(len(queries) + 1))
-                for row in np.unique(i).tolist():
-                    a, z = edge[row], edge[row + 1]
-                    mine, points = ids[j[a:z]], score[a:z]
-                    if row in best:
-                        mine, points = np.concatenate((best[row][0], mine)), np.concatenate((best[row][1], points))
-                    top = _best(mine, points, k)
-                    best[row] = mine[top], points[top]
-                    if len(top) == k:
-                        least[row] = max(least[row], points[top[-1]])
+                for lo in range(0, len(live), ROWS):
+                    some = live[lo : lo + ROWS]
+                    bound = q[some, :head] @ r[:, :head].T + q_rest[some, None] * rest
+                    i, j = np.nonzero(bound + slack[some, None] >= least[some, None])
+                    score = scored(queries[some], x, i, j)
+                    i = some[i]
+                    keep = (query_ids[i] != ids[j]) & (score >= least[i])
+                    i, j, score = i[keep], j[keep], score[keep]
+                    rows, edge = np.unique(i, return_index=True)
+                    edge = np.append(edge, len(i)).tolist()
+                    for row, a, z in zip(rows.tolist(), edge[:-1], edge[1:], strict=True):
+                        mine, points = ids[j[a:z]], score[a:z]
+                        if row in best:
+                            mine, points = np.concatenate((best[row][0], mine)), np.concatenate((best[row][1], points))
+                        top = _best(mine, points, k)
+                        best[row] = mine[top], points[top]
+                        if len(top) == k:
+                            least[row] = max(least[row], points[top[-1]])
         for row, (mine, points) in best.items():
             n = len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int32)), pa.array(np.full(n, query_ids[row], np.int64)), pa.array(mine), pa.array(points)], ["row", "query_id", "vec_id", "score"])
