@@ -153,9 +153,9 @@ def filter_to_delete_ops(spark, sf_dir):
 def freshness_filter(spark, sf_dir):
     """Undated documents and those after the watermark."""
     e = table(spark, sf_dir, "events")
-    wm = e.agg((F.min("ts") + F.expr("INTERVAL 2 DAY")).alias("wm"))
+    wm = e.agg((F.min("ts") + F.expr("INTERVAL 2 DAY")).alias("wm")).first()["wm"]
     dated = e.withColumn("d", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
-    return dated.join(F.broadcast(wm)).where(verdict.outdated(F.col("wm"), "d")).select("event_id")  # wm is one row
+    return dated.where(verdict.outdated(F.lit(wm), "d")).select("event_id")
 
 
 @query("SELECT event_type, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS watermark FROM events GROUP BY 1")
