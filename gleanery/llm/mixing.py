@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import n_partitions
+from gleanery.llm.common import as_table, n_partitions
 
 #: So many sources' rates are broadcast; beyond, they are joined by a salted key.
 BROADCAST_SOURCES = 10_000
@@ -53,7 +53,7 @@ def poisson(rate: Column, u: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, budget: float, source: Column, size: Column) -> DataFrame:
     """(mix_source, mix_rate): weights by source, or shares to the power `temperature`; budget as a share of all sizes."""
-    sizes = docs.select(source.alias("mix_source"), size.alias("size")).groupBy("mix_source").agg(F.sum("size").alias("size"))
+    sizes = as_table(docs.select(source.alias("mix_source"), size.alias("size")).groupBy("mix_source").agg(F.sum("size").alias("size")), "sizes")
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("size").cast("double"), F.lit(temperature)))
     else:
@@ -61,18 +61,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
         for name, w in weights.items():
             choice = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(choice)
         weighed = sizes.withColumn("w", F.when(F.col("size") > 0, choice).otherwise(F.lit(0.0)))
-    total = weighed.agg(F.sum(F.round("w", 6).cast("decimal(30,6)")).cast("double").alias("all_w"), F.sum("size").cast("double").alias("all_size"))
-    rate = F.col("w") / F.col("all_w") * F.col("all_size") * F.lit(budget) / F.col("size")
-    return weighed.join(F.broadcast(total)).select("mix_source", F.when(F.col("size") > 0, F.least(F.lit(RATE_LIMIT), rate)).otherwise(F.lit(0.0)).alias("mix_rate"))  # total is one row
+    all_w, all_size = weighed.agg(F.sum(F.round("w", 6).cast("decimal(30,6)")).cast("double"), F.sum("size").cast("double")).first()
+    rate = F.col("w") / F.lit(all_w) * F.lit(all_size) * F.lit(budget) / F.col("size")
+    return weighed.select("mix_source", F.when((F.col("size") > 0) & F.lit(bool(all_w)), F.least(F.lit(RATE_LIMIT), rate)).otherwise(F.lit(0.0)).alias("mix_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_copy (from 0), mix_copies, mix_rate and mix_place, one row for each copy, in a global hashed order."""
+    """docs with mix_copy (from 0), mix_copies, mix_rate and mix_place, one row for each copy, in a global hashed order.
+
+    Columns of docs with these names are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("mix_source", "mix_salt", "mix_rate", "mix_copies", "mix_copy", "mix_place")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    from gleanery.llm.common import as_table
-
     rate = as_table(rates(docs, weights, temperature, budget, source, size), "rates")
     keyed = docs.withColumn("mix_source", source)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
