@@ -12,7 +12,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = []
+
+
+class _Powers(list):
+    """A cache that travels to executors empty."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers: list[np.ndarray] = _Powers()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
