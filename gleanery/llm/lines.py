@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_table, map_arrow, pieces
+from gleanery.llm.common import as_table, fresh, map_arrow, pieces
 
 HEAVY = 10_000
 LEAST_WORDS = 8
@@ -76,14 +76,14 @@ def repeated_units(docs: DataFrame, pattern: str = SENTENCE, least_words: int =
 
 
 def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs whose text lacks the removed units, with `removed_spans`: their [start, end) in the original text.
+    """docs whose text lacks the removed units, with `removed_spans` (a column of that name is replaced): their [start, end)
+    in the original text.
 
     Rows that share an id share its spans."""
-    spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.col("removed_spans")[k - 1]["end"])
-    kept = F.transform(
-        F.sequence(F.lit(0), F.size("removed_spans")),
-        lambda k: F.substring(F.col(text_col), start(k) + 1, F.when(k == F.size("removed_spans"), F.char_length(text_col)).otherwise(F.get("removed_spans", k)["start"]) - start(k)),
-    )
+    name = fresh("id")
+    spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans")).withColumnRenamed("doc_id", name)
+    joined = docs.drop("removed_spans").join(spans, F.col(id_col).cast("long") == F.col(name), "left").drop(name)
+    end = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("removed_spans", k - 1)["end"])
+    until = lambda k: F.when(k == F.size("removed_spans"), F.char_length(text_col)).otherwise(F.get("removed_spans", k)["start"])
+    kept = F.transform(F.sequence(F.lit(0), F.size("removed_spans")), lambda k: F.substring(F.col(text_col), end(k) + 1, until(k) - end(k)))
     return joined.withColumn(text_col, F.when(F.col("removed_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "")))

@@ -340,7 +340,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in pieces(batches, "media", 16 << 20):
+    for part in pieces(batches, "media", 4 << 20):
         ids = part.column("id").to_pylist()
         _, owner, begins, micros = decode([m or b"" for m in part.column("media").to_pylist()])
         at = np.flatnonzero(begins)

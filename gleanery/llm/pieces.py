@@ -24,9 +24,7 @@ from pyspark.sql import types as T
 from gleanery.llm.common import map_arrow, pieces
 
 MARK = "▁"
-TABLE_ROWS = 400_000
-#: Chunks over this many characters are segmented each time, not kept.
-LONG_CHUNK = 64
+TABLE_ROWS = 250_000
 CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 
 
@@ -80,7 +78,7 @@ def _digester(model_path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
         sha = hashlib.sha256
-        for part in pieces(batches, "text", 2 << 20):
+        for part in pieces(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
             rows = [(n, sha(ids.encode()).hexdigest(), sha(text.encode()).hexdigest()) for ids, n, text in table.encode_batch(texts)]
             n, a, b = zip(*rows, strict=True)
@@ -104,7 +102,7 @@ def encode_rows(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
-        for part in pieces(batches, text_col, 2 << 20):
+        for part in pieces(batches, text_col):
             rows = [(np.fromstring(ids, np.int32, sep=" "), text) for ids, _, text in table.encode_batch([t or "" for t in part.column(text_col).to_pylist()])]
             ids, text = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(ids, pa.list_(pa.int32())), pa.array(text)], [*others, "ids", "decoded"])

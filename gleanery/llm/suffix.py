@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_table, map_arrow, n_partitions, pieces, ranges, utf8
+from gleanery.llm.common import as_table, fresh, map_arrow, n_partitions, pieces, ranges, utf8
 from gleanery.llm.shingles import _BYTE, mix, powers
 
 LENGTH = 100
@@ -36,7 +36,7 @@ GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 HOT = 256
 #: A task sums up equal runs over so many runs at a time.
-FLUSH = 1_500_000
+FLUSH = 750_000
 _POS = np.uint64((1 << 26) - 1)
 _RUN = np.dtype([("fp", "<u8"), ("sh", "<u8"), ("doc", "<i8"), ("s0", "<i4"), ("n", "<i4")])
 
@@ -166,7 +166,7 @@ def _cut(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for part in pieces(batches, "text", 1 << 20):
+        for part in pieces(batches, "text"):
             data, off = utf8(part.column("text"))
             held.append(runs(data, off, part.column("doc").to_numpy()))
             size += len(held[-1])
@@ -236,7 +236,7 @@ def _slices(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: list[np.ndarray] = []
-        for part in pieces(batches, "text", 1 << 20):
+        for part in pieces(batches, "text"):
             data, off = utf8(part.column("text"))
             want = part.column("want")
             n = np.diff(want.offsets.to_numpy())
@@ -447,7 +447,10 @@ def covered(n: int, spans) -> tuple[list[int], list[int]]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.join(repeats(docs, id_col, text_col).withColumnRenamed("doc", "_doc"), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    """docs with the spans as last column, whatever names the others have."""
+    doc, spans = fresh("doc"), fresh("spans")
+    found = repeats(docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("spans").alias(spans))
+    return docs.join(found, F.col(id_col).cast("long") == F.col(doc), "left").drop(doc)
 
 
 def _spans(column: pa.Array) -> Iterator[list[tuple[int, int]]]:
@@ -466,7 +469,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = utf8(part.column("text"))
         raw = memoryview(data)
         out = []
-        for k, spans in enumerate(_spans(part.column("spans"))):
+        for k, spans in enumerate(_spans(part.columns[-1])):
             own = raw[off[k] : off[k + 1]]
             starts, ends = covered(len(own), spans)
             sha, at = hashlib.sha256(), 0
@@ -498,7 +501,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 continue
             data, off = utf8(part.column(text_col))
             texts, keep = part.column(text_col).to_pylist(), np.ones(part.num_rows, bool)
-            for k, spans in enumerate(_spans(part.column("spans"))):
+            for k, spans in enumerate(_spans(part.columns[-1])):
                 if not spans:
                     continue
                 own = data[off[k] : off[k + 1]]
