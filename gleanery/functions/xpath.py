@@ -538,16 +538,45 @@ def evaluate(text: str, node: Node, namespaces: dict[str, str] | None = None, va
     return compile_xpath(text, namespaces)(Context(node, variables=variables or {}, current=node))
 
 
-def matches(pattern: str, node: Node, namespaces: dict[str, str], variables: dict[str, object]) -> bool:
-    """Whether a node matches an XSLT pattern: some ancestor-or-self selects it."""
-    for part in re.split(r"\|(?![^\[]*\])", pattern):
-        part = part.strip()
-        if part == "/":
-            if node.kind == DOC:
-                return True
-            continue
-        run = compile_xpath(part, namespaces)
-        for start in (node.parent, *(_above(node.parent) if node.parent else ())):
-            if start is not None and any(n is node for n in run(Context(start, variables=variables))):
+_SIMPLE = re.compile(r"(@?)(?:(\*)|(?:([\w.\-]+):)?([\w.\-]+|\*))|(text|node)\(\)")
+_patterns = Cache()
+
+
+def _pattern(part: str, namespaces: dict[str, str]) -> Callable[[Node, dict], bool]:
+    """A test for one alternative of a pattern; single steps without predicates need no search."""
+    if part == "/":
+        return lambda node, variables: node.kind == DOC
+    m = _SIMPLE.fullmatch(part)
+    if m and m[5]:
+        kinds = (TEXT,) if m[5] == "text" else (ELEM, TEXT)
+        return lambda node, variables: node.kind in kinds
+    if m:
+        kind = ATTR if m[1] else ELEM
+        if m[2]:
+            return lambda node, variables: node.kind == kind
+        if m[3] and m[3] not in namespaces:
+            raise XPathError(f"unknown prefix {m[3]!r} in {part!r}")
+        uri, name = namespaces[m[3]] if m[3] else "", m[4]
+        return lambda node, variables: node.kind == kind and node.uri == uri and name in ("*", node.name)
+    run = compile_xpath(part, namespaces)
+    # where the pattern's last step is a text test, no other node can match
+    only = TEXT if re.search(r"(^|/)text\(\)(\[[^\]]*\])?$", part) else None
+
+    def search(node: Node, variables: dict) -> bool:
+        if only is not None and node.kind != only:
+            return False
+        start = node.parent
+        while start is not None:
+            if any(n is node for n in run(Context(start, variables=variables))):
                 return True
-    return False
+            start = start.parent
+        return False
+
+    return search
+
+
+def matches(pattern: str, node: Node, namespaces: dict[str, str], variables: dict[str, object]) -> bool:
+    """Whether a node matches an XSLT pattern: some ancestor selects it."""
+    key = (pattern, tuple(sorted(namespaces.items())))
+    tests = _patterns.get_or_make(key, lambda: [_pattern(p.strip(), namespaces) for p in re.split(r"\|(?![^\[]*\])", pattern)])
+    return any(t(node, variables) for t in tests)

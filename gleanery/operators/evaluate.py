@@ -1,8 +1,7 @@
 """Evaluating a pipeline on documents: variables, filters, fields.
 
 One Arrow-batched UDF parses each document once and returns the verdict, an error and all fields as strings; conversion to
-types, defaults and the error policy are Columns, so Catalyst sees them. Nothing outside the XML column is needed in
-Python, and filters on other columns pass below the UDF to the scan.
+types, defaults and the error policy are Columns, so Catalyst sees them. Filters on dates come before it and reach the scan.
 """
 
 from __future__ import annotations
@@ -152,6 +151,7 @@ def evaluated(docs: DataFrame, spec: PipelineSpec, source: str, policy: str = "S
             out[n] = pd.Series([r[2][k] for r in rows], dtype="object")
         return pd.DataFrame(out)
 
+    run = run.asNondeterministic()  # else a filter on the verdict above would evaluate each document once more
     rows = docs.where(F.col("identifier").isNotNull())
     live = ~F.coalesce(F.col("deleted"), F.lit(False)) & F.col("xml").isNotNull()
     stamp = F.coalesce(scalars.index_text("datestamp"), F.lit(""))

@@ -52,7 +52,8 @@ def x(text: str, **ns: str) -> Expression:
 
 
 def order_xml(orders: DataFrame) -> DataFrame:
-    """Orders as namespaced XML documents."""
+    """Orders as namespaced XML documents; the narrow rows are spread before they become documents."""
+    orders = orders.repartition(orders.sparkSession.sparkContext.defaultParallelism)
     xml = F.concat(
         F.lit(f'<p:order xmlns:p="{NS}" status="'), "o_orderstatus", F.lit('"><p:key>'), F.col("o_orderkey").cast("string"), F.lit("</p:key><p:cust> "), F.col("o_custkey").cast("string"),
         F.lit(" </p:cust><p:price>"), F.col("o_totalprice").cast("string"), F.lit("</p:price><p:date>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</p:date><p:prio>"), "o_orderpriority", F.lit("</p:prio></p:order>"),
