@@ -36,7 +36,7 @@ GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 HOT = 256
 #: A task sums up equal runs over so many runs at a time.
-FLUSH = 750_000
+FLUSH = 500_000
 _POS = np.uint64((1 << 26) - 1)
 _RUN = np.dtype([("fp", "<u8"), ("sh", "<u8"), ("doc", "<i8"), ("s0", "<i4"), ("n", "<i4")])
 
@@ -465,7 +465,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
+    for part in pieces(batches, "text"):
         data, off = utf8(part.column("text"))
         raw = memoryview(data)
         out = []
@@ -496,9 +496,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = joined_.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
+        for part in pieces(batches, text_col):
             data, off = utf8(part.column(text_col))
             texts, keep = part.column(text_col).to_pylist(), np.ones(part.num_rows, bool)
             for k, spans in enumerate(_spans(part.columns[-1])):
