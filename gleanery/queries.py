@@ -275,10 +275,8 @@ def url_fragment_base(spark, sf_dir):
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="(https?://[^"]*)"', 1)) AS link FROM pages""")
 def html_links(spark, sf_dir):
-    """Absolute links of pages by the HTML parser."""
-    p = table(spark, sf_dir, "pages")
-    body = F.concat(F.lit("<html><body>"), F.array_join(F.regexp_extract_all("html", F.lit('<a href="https?://[^"]*"'), 0), "></a>"), F.lit("></a></body></html>"))
-    return page_links(p.select(F.col("page_id").cast("string").alias("url"), body.alias("html"))).select(F.col("url").cast("bigint").alias("page_id"), "link")
+    """Absolute links of pages, resolved against each page's URL or BASE, by the HTML parser."""
+    return page_links(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "link")
 
 
 @query("""WITH l AS (SELECT DISTINCT split_part(unnest(regexp_extract_all(html, 'href="(https?://[^"]*)"', 1)), '#', 1) AS url FROM pages)
@@ -286,8 +284,7 @@ SELECT url FROM l WHERE NOT regexp_matches(url, '[?]') AND url NOT IN (SELECT ur
 def crawl_frontier(spark, sf_dir):
     """Distinct links that were not visited and may be."""
     p = table(spark, sf_dir, "pages")
-    found = p.select(F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"]*)"'), 1)).alias("link"))
-    return frontier(found, p, "http", "[?]")
+    return frontier(page_links(p), p.select(scalars.no_fragment("url").alias("url")), "http", "[?]")
 
 
 @query("SELECT page_id, 'text/html' AS mime, 'utf-8' AS charset FROM pages")

@@ -71,14 +71,14 @@ def links(base: str, html: str | None) -> list[str]:
     return parser.found
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, link) for each link of each page."""
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, link), after the columns to keep, for each link of each page."""
 
     @F.pandas_udf("array<string>")
     def run(base: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([links(b, t) for b, t in zip(base, text, strict=True)])
 
-    return pages.select(F.col(url).alias("url"), F.explode(run(F.col(url), F.col(html))).alias("link"))
+    return pages.select(*keep, F.col(url).alias("url"), F.explode(run(F.col(url), F.col(html))).alias("link"))
 
 
 def frontier(found: DataFrame, visited: DataFrame, base: str, exclude: str | None = None) -> DataFrame:
