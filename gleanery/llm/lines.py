@@ -6,7 +6,10 @@ earliest unit (least doc_id, then position) stays, every later one goes, and the
 original text. Digests that many units share are counted before they meet their units, in two ways: the few that hold at
 least 1/HEAVY of all units (HEAVY at most, by arithmetic) are broadcast, the others are joined.
 
-Units of fewer than `least_words` words always stay. Units cover the whole text, their punctuation and line feeds too.
+Units of fewer than `least_words` words stay, unless `whole_lines` is set: then such a unit is digested as a place in its
+whole line, so that a line that stands earlier goes whatever the lengths of its sentences, and in languages without blanks
+too. Units without words always stay. Units cover the whole text, their punctuation and line feeds too. With `whole_lines`
+no unit may cross a line feed that another character follows (SENTENCE may, at '\\n!'; WITHIN_LINES doesn't).
 
 Defined results: null and empty texts have no units; a unit repeated within a document goes too; rows that repeat an id
 are ranked by text and count as the same document; rows with a null id come last.
@@ -27,26 +30,49 @@ from gleanery.llm.common import as_table, fresh, map_arrow, pieces
 HEAVY = 10_000
 LEAST_WORDS = 8
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+WITHIN_LINES = r"[^.!?\n]*(?:[.!?]+\n*|\n+)|[^.!?\n]+"
 LINE = r"[^\n]*\n|[^\n]+"
 PARAGRAPH = r"(?:[^\n]|\n(?!\n))*\n\n+|(?:[^\n]|\n(?!\n))+"
 WORD = re.compile(r"[^ \t\r\n\x0b\x0c]+")
 
 
-def _cutter(pattern: str, least_words: int):
+def _lines(text: str, found: list[re.Match]) -> Iterator[tuple[int, int, int]]:
+    """Ranges [i, j) of units that make up a line, with the line's start."""
+    i = 0
+    for j, m in enumerate(found, 1):
+        if j == len(found) or m[0].endswith("\n"):
+            yield i, j, found[i].start()
+            i = j
+
+
+def _cutter(pattern: str, least_words: int, whole_lines: bool):
     cut = re.compile(pattern)
+    md5 = lambda words: hashlib.md5(" ".join(words).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             ids, unit, start, end, digest = [], [], [], [], []
+
+            def add(i, k, m, key):
+                ids.append(i)
+                unit.append(k)
+                start.append(m.start())
+                end.append(m.end())
+                digest.append(key)
+
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for k, m in enumerate(cut.finditer(text) if text else ()):
-                    words = WORD.findall(m[0].lower())
-                    if len(words) >= least_words:
-                        ids.append(i)
-                        unit.append(k)
-                        start.append(m.start())
-                        end.append(m.end())
-                        digest.append(hashlib.md5(" ".join(words).encode()).digest())
+                found = list(cut.finditer(text)) if text else []
+                words = [WORD.findall(m[0].lower()) for m in found]
+                for k, (m, w) in enumerate(zip(found, words, strict=True)):
+                    if len(w) >= least_words:
+                        add(i, k, m, md5(w).digest())
+                for a, b, at in _lines(text, found) if whole_lines else ():
+                    if any(0 < len(w) < least_words for w in words[a:b]):
+                        line = md5(WORD.findall(text[at : found[b - 1].end()].lower())).hexdigest()
+                        for place, k in enumerate([k for k in range(a, b) if words[k]]):
+                            if len(words[k]) < least_words:
+                                # a line feed is in no unit's words, so these digests meet no others
+                                add(i, k, found[k], md5((line, "\n", str(place))).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(unit, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["doc_id", "unit", "start", "end", "digest"])
 
     return run
@@ -55,15 +81,16 @@ def _cutter(pattern: str, least_words: int):
 UNITS = "doc_id long, unit int, start int, end int, digest binary"
 
 
-def units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, start, end, digest) of each unit with least_words words or more; offsets count characters."""
+def units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
+    """(doc_id, unit, start, end, digest) of each unit with least_words words or more, and with whole_lines of each other
+    one that has words; offsets count characters."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, _cutter(pattern, least_words), UNITS)
+    return map_arrow(rows, _cutter(pattern, least_words, whole_lines), UNITS)
 
 
-def repeated_units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
     """(doc_id, unit, start, end, keep_doc_id, keep_unit): each unit to remove, with the occurrence that stays."""
-    cut = as_table(units(docs, pattern, least_words, id_col, text_col), "units")
+    cut = as_table(units(docs, pattern, least_words, id_col, text_col, whole_lines), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "start")
     digests = as_table(cut.groupBy("digest").agg(F.count("*").alias("count"), F.min(rank).alias("first")).where("count > 1"), "digests")
     bar = (cut.count() + HEAVY - 1) // HEAVY

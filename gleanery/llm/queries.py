@@ -28,7 +28,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_units(table(spark, sf_dir, "documents"))
+    return lines.repeated_units(table(spark, sf_dir, "documents"), lines.WITHIN_LINES, whole_lines=True)
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
