@@ -3,8 +3,8 @@
 Where no piece of a model holds a whitespace marker after another character, no merge crosses from a character to a
 marker. A text then falls into chunks (markers, then other characters) whose segmentations do not depend on each other:
 each distinct chunk is segmented once and its ids are joined back by position. The table lives in a task and is emptied
-when it holds `TABLE_ROWS` chunks, so memory stays bounded whatever the vocabulary. A model that breaks the condition,
-or normalises other characters, is refused.
+between batches when it would hold more than `TABLE_ROWS` chunks; only a batch with more distinct chunks than that of its
+own (one long text) exceeds it until the next. A model that breaks the condition, or normalises other characters, is refused.
 
 Defined results: null text is encoded like an empty one (the end id alone); ids of rows stay as they are.
 """
@@ -47,8 +47,6 @@ class ChunkTable:
 
     def _segment(self, chunks: list[str]) -> None:
         """Add chunks that begin with a marker; the library adds the first marker itself."""
-        if len(self.known) + len(chunks) > TABLE_ROWS:
-            self.known.clear()
         many = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         for chunk, ids in zip(chunks, many, strict=True):
             if not ids:  # a lone marker
@@ -60,11 +58,11 @@ class ChunkTable:
         split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         missing = dict.fromkeys(c for chunks in split for c in chunks)
         fresh = [c for c in missing if c not in self.known]
+        if len(self.known) + len(fresh) > TABLE_ROWS:
+            self.known.clear()
+            fresh = list(missing)
         if fresh:
             self._segment(fresh)
-        lacking = [c for c in missing if c not in self.known]  # the table was emptied meanwhile
-        if lacking:
-            self._segment(lacking)
         known = self.known
         for chunks in split:
             rows = [known[c] for c in chunks]
