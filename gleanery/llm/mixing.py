@@ -2,12 +2,13 @@
 
 A document of source s is repeated a Poisson number of times with mean rate(s) = target share * budget / size(s). The
 number inverts the Poisson distribution at a uniform number hashed from seed and id, so it does not depend on partitions
-or retries. Each document is exploded by its count and the copies are shuffled globally: every copy has a hashed place,
+or retries. A rate over PART_RATE is dealt out to equal parts, each with a hash of its own, whose draws are summed up: the
+sum is Poisson with the whole rate, and exp(-rate) doesn't underflow. Each document is exploded by its count and the copies are shuffled globally: every copy has a hashed place,
 is dealt out by it, and stands in its order. One hot source spreads like any other, since places know no source.
 
 Defined results: a null source is a source of its own (''); null text has size 0 but is repeated like its source; a row
 with a null id draws as the id ''; rows that share an id and source draw alike; sources of size 0 or with no target get
-rate 0. Rates are at most RATE_LIMIT.
+rate 0.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from gleanery.llm.common import as_table, n_partitions
 #: So many sources' rates are broadcast; beyond, they are joined by a salted key.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-RATE_LIMIT = 50.0
+#: The largest rate that is drawn at once.
+PART_RATE = 50.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -37,10 +39,10 @@ def steps(limit: float) -> int:
 
 
 def poisson(rate: Column, u: Column) -> Column:
-    """The least k with u < P(X <= k), at most steps(RATE_LIMIT)."""
+    """The least k with u < P(X <= k), at most steps(PART_RATE)."""
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("below"))
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.lit(steps(RATE_LIMIT)), (rate + 12 * F.sqrt(rate) + 30).cast("int"))),
+        F.sequence(F.lit(1), F.least(F.lit(steps(PART_RATE)), (rate + 12 * F.sqrt(rate) + 30).cast("int"))),
         start,
         lambda s, i: F.when(
             u >= s["below"],
@@ -51,6 +53,15 @@ def poisson(rate: Column, u: Column) -> Column:
     return F.when(rate > 0, walk).otherwise(F.lit(0))
 
 
+def copies(rate: Column, seed: str, name: Column) -> Column:
+    """A Poisson number with any rate: one draw, or the sum of draws of at most PART_RATE each."""
+    first = uniform(F.lit(seed), name)
+    parts = F.ceil(rate / PART_RATE).cast("int")
+    draw = lambda k: F.when(k == 0, first).otherwise(uniform(F.lit(seed), F.lit("part"), k.cast("string"), name))
+    total = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, k: n + poisson(rate / parts, draw(k)))
+    return F.when(rate <= PART_RATE, poisson(rate, first)).otherwise(total)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, budget: float, source: Column, size: Column) -> DataFrame:
     """(mix_source, mix_rate): weights by source, or shares to the power `temperature`; budget as a share of all sizes."""
     sizes = as_table(docs.select(source.alias("mix_source"), size.alias("size")).groupBy("mix_source").agg(F.sum("size").alias("size")), "sizes")
@@ -63,7 +74,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
         weighed = sizes.withColumn("w", F.when(F.col("size") > 0, choice).otherwise(F.lit(0.0)))
     all_w, all_size = weighed.agg(F.sum(F.round("w", 6).cast("decimal(30,6)")).cast("double"), F.sum("size").cast("double")).first()
     rate = F.col("w") / F.lit(all_w) * F.lit(all_size) * F.lit(budget) / F.col("size")
-    return weighed.select("mix_source", F.when((F.col("size") > 0) & F.lit(bool(all_w)), F.least(F.lit(RATE_LIMIT), rate)).otherwise(F.lit(0.0)).alias("mix_rate"))
+    return weighed.select("mix_source", F.when((F.col("size") > 0) & F.lit(bool(all_w)), rate).otherwise(F.lit(0.0)).alias("mix_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -82,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     else:
         salted = rate.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    counted = rated.withColumn("mix_copies", poisson(F.col("mix_rate"), uniform(F.lit(seed), name)))
-    copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    placed = copies.withColumn("mix_place", uniform(F.lit(seed), F.lit("place"), name, F.col("mix_copy").cast("string")))
+    counted = rated.withColumn("mix_copies", copies(F.col("mix_rate"), seed, name))
+    repeated = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    placed = repeated.withColumn("mix_place", uniform(F.lit(seed), F.lit("place"), name, F.col("mix_copy").cast("string")))
     return placed.repartition(n_partitions(spark), "mix_place").sortWithinPartitions("mix_place").drop("mix_source")
