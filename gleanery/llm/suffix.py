@@ -46,6 +46,14 @@ def runs(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.ndarray:
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, _RUN)
+    if n > (stretch := int(_POS) + 1):  # positions fill _POS: texts go in stretches that share no window
+        found = []
+        for doc, a, b in zip(docs, off[:-1].tolist(), off[1:].tolist(), strict=True):
+            for lo in range(a, b, stretch - LENGTH + 1):
+                hi = min(lo + stretch, b)
+                found.append(runs(data[lo:hi], np.array([0, hi - lo]), np.array([doc])))
+                found[-1]["s0"] += lo - a
+        return np.concatenate(found)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
