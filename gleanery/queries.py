@@ -273,14 +273,19 @@ def url_fragment_base(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", u.alias("url"), scalars.base_directory(u).alias("base"))
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="(https?://[^"]*)"', 1)) AS link FROM pages""")
+#: Links of the supplied pages: all of them are paths from the host's root (test_links.py holds other forms).
+_LINKS = """SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') || href AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)"""
+
+
+@query(_LINKS)
 def html_links(spark, sf_dir):
     """Absolute links of pages, resolved against each page's URL or BASE, by the HTML parser."""
     return page_links(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "link")
 
 
-@query("""WITH l AS (SELECT DISTINCT split_part(unnest(regexp_extract_all(html, 'href="(https?://[^"]*)"', 1)), '#', 1) AS url FROM pages)
-SELECT url FROM l WHERE NOT regexp_matches(url, '[?]') AND url NOT IN (SELECT url FROM pages)""")
+@query(f"""WITH l AS ({_LINKS}), u AS (SELECT DISTINCT split_part(link, '#', 1) AS url FROM l)
+SELECT url FROM u WHERE starts_with(url, 'http') AND NOT contains(url, '?') AND url NOT IN (SELECT split_part(url, '#', 1) FROM pages)""")
 def crawl_frontier(spark, sf_dir):
     """Distinct links that were not visited and may be."""
     p = table(spark, sf_dir, "pages")
