@@ -32,7 +32,8 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, k=20)
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
