@@ -3,8 +3,9 @@
 A document of source s is repeated a Poisson number of times with mean rate(s) = target share * budget / size(s). The
 number inverts the Poisson distribution at a uniform number hashed from seed and id, so it does not depend on partitions
 or retries. A rate over PART_RATE is dealt out to equal parts, each with a hash of its own, whose draws are summed up: the
-sum is Poisson with the whole rate, and exp(-rate) doesn't underflow. Each document is exploded by its count and the copies are shuffled globally: every copy has a hashed place,
-is dealt out by it, and stands in its order. One hot source spreads like any other, since places know no source.
+sum is Poisson with the whole rate, and exp(-rate) doesn't underflow. Each document is exploded by its count and the copies
+are shuffled globally: every copy has a hashed place, is dealt out by it, and stands in its order. One hot source spreads
+like any other, since places know no source.
 
 Defined results: a null source is a source of its own (''); null text has size 0 but is repeated like its source; a row
 with a null id draws as the id ''; rows that share an id and source draw alike; sources of size 0 or with no target get
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_table, n_partitions
+from gleanery.llm.common import as_table, fresh, n_partitions
 
 #: So many sources' rates are broadcast; beyond, they are joined by a salted key.
 BROADCAST_SOURCES = 10_000
@@ -77,23 +78,33 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
     return weighed.select("mix_source", F.when((F.col("size") > 0) & F.lit(bool(all_w)), rate).otherwise(F.lit(0.0)).alias("mix_rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_copy (from 0), mix_copies, mix_rate and mix_place, one row for each copy, in a global hashed order.
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_place")
 
-    Columns of docs with these names are replaced."""
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: tuple[str, ...] = ADDED) -> DataFrame:
+    """docs with the four added columns, one row for each copy, in a global hashed order.
+
+    Columns of docs with the added names are replaced; other columns stay, whatever their names."""
     spark = docs.sparkSession
-    docs = docs.drop("mix_source", "mix_salt", "mix_rate", "mix_copies", "mix_copy", "mix_place")
+    docs = docs.drop(*added)
+    as_rate, as_copies, as_copy, as_place = added
+    of_source, salt = fresh("source"), fresh("salt")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    rate = as_table(rates(docs, weights, temperature, budget, source, size), "rates")
-    keyed = docs.withColumn("mix_source", source)
+    rate = as_table(rates(docs, weights, temperature, budget, source, size), "rates").withColumnsRenamed({"mix_source": of_source, "mix_rate": as_rate})
+    keyed = docs.withColumn(of_source, source)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     if rate.count() <= BROADCAST_SOURCES:
-        rated = keyed.join(F.broadcast(rate), "mix_source")
+        rated = keyed.join(F.broadcast(rate), of_source)
     else:
-        salted = rate.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    counted = rated.withColumn("mix_copies", copies(F.col("mix_rate"), seed, name))
-    repeated = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    placed = repeated.withColumn("mix_place", uniform(F.lit(seed), F.lit("place"), name, F.col("mix_copy").cast("string")))
-    return placed.repartition(n_partitions(spark), "mix_place").sortWithinPartitions("mix_place").drop("mix_source")
+        salted = rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = keyed.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(salted, [of_source, salt]).drop(salt)
+    counted = rated.withColumn(as_copies, copies(F.col(as_rate), seed, name))
+    repeated = counted.where(F.col(as_copies) > 0).withColumn(as_copy, F.explode(F.sequence(F.lit(0), F.col(as_copies) - 1)))
+    placed = repeated.withColumn(as_place, uniform(F.lit(seed), F.lit("place"), name, F.col(as_copy).cast("string")))
+    return placed.repartition(n_partitions(spark), as_place).sortWithinPartitions(as_place).drop(of_source)
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The copies with the columns of docs alone, all of them as they were."""
+    return mix(docs, added=tuple(fresh(name) for name in ADDED), **how).select(*docs.columns)

@@ -117,22 +117,26 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 
 OP7_SQL = """
 WITH RECURSIVE doc AS (
-  SELECT *, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS name FROM documents
+  SELECT *, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS name, row_number() OVER () AS r FROM documents
 ), size AS (
   SELECT s, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM doc GROUP BY s
 ), total AS (
   SELECT CAST(sum(CAST(round(pow(size, 0.5), 6) AS DECIMAL(30, 6))) AS DOUBLE) AS w, sum(size) AS size FROM size
 ), rate AS (
-  SELECT s, CASE WHEN size.size > 0 THEN least(50.0, pow(size.size, 0.5) / total.w * total.size * 1.0 / size.size) ELSE 0.0 END AS rate FROM size, total
+  SELECT s, CASE WHEN size.size > 0 THEN pow(size.size, 0.5) / total.w * total.size * 1.0 / size.size ELSE 0.0 END AS rate FROM size, total
+), parted AS (
+  SELECT s, rate, greatest(1, CAST(ceil(rate / 50.0) AS INTEGER)) AS parts, rate / greatest(1, CAST(ceil(rate / 50.0) AS INTEGER)) AS part_rate FROM rate
 ), law AS (
-  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS below FROM rate WHERE rate > 0
-  UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM law WHERE k < 160
+  SELECT s, part_rate, 0 AS k, exp(-part_rate) AS p, exp(-part_rate) AS below FROM parted WHERE rate > 0
+  UNION ALL SELECT s, part_rate, k + 1, p * part_rate / (k + 1), below + p * part_rate / (k + 1) FROM law WHERE k < 164
+), part AS (
+  SELECT r, s, name, unnest(range(parts)) AS part FROM doc JOIN parted USING (s)
 ), drawn AS (
-  SELECT doc.*, rate.rate, CAST('0x' || substr(md5('mix|' || name), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM doc JOIN rate USING (s)
+  SELECT r, s, CAST('0x' || substr(md5('mix|' || CASE WHEN part = 0 THEN '' ELSE 'part|' || part || '|' END || name), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM part
 ), counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.name, d.rate, (SELECT count(*) FROM law WHERE law.s = d.s AND d.u >= law.below) AS copies FROM drawn d
+  SELECT r, sum(copies) AS copies FROM (SELECT r, (SELECT count(*) FROM law WHERE law.s = d.s AND d.u >= law.below) AS copies FROM drawn d) GROUP BY r
 ), copy AS (
-  SELECT *, unnest(range(copies)) AS copy FROM counted
+  SELECT doc.*, parted.rate, copies, unnest(range(CAST(copies AS BIGINT))) AS copy FROM doc JOIN counted USING (r) JOIN parted USING (s)
 )
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, CAST(copies AS INTEGER) AS mix_copies, CAST(copy AS INTEGER) AS mix_copy,
   CAST('0x' || substr(md5('mix|place|' || name || '|' || copy), 1, 13) AS BIGINT) / 4503599627370496.0 AS mix_place
