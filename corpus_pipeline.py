@@ -32,7 +32,7 @@ def _suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, temperature=0.5, budget=1.0).select(docs.columns)
+    return mixing.repeated(docs, temperature=0.5, budget=1.0)
 
 
 def _pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
