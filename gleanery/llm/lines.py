@@ -12,7 +12,8 @@ too. Units without words always stay. Units cover the whole text, their punctuat
 no unit may cross a line feed that another character follows (SENTENCE may, at '\\n!'; WITHIN_LINES doesn't).
 
 Defined results: null and empty texts have no units; a unit repeated within a document goes too; rows that repeat an id
-are ranked by text and count as the same document; rows with a null id come last.
+count as the same document, so that equal units at the same place of them are one; rows with a null id come last, each a
+document of its own: of n that hold a unit first of all, n - 1 are reported.
 """
 
 from __future__ import annotations
@@ -91,22 +92,28 @@ def units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WOR
 def repeated_units(docs: DataFrame, pattern: str = SENTENCE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
     """(doc_id, unit, start, end, keep_doc_id, keep_unit): each unit to remove, with the occurrence that stays."""
     cut = as_table(units(docs, pattern, least_words, id_col, text_col, whole_lines), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "start")
-    digests = as_table(cut.groupBy("digest").agg(F.count("*").alias("count"), F.min(rank).alias("first")).where("count > 1"), "digests")
-    bar = (cut.count() + HEAVY - 1) // HEAVY
+    mine = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "start", F.when(F.col("doc_id").isNull(), F.col("end")).alias("end"))
+    digests = as_table(cut.groupBy("digest").agg(F.count("*").alias("count"), F.min(mine).alias("first")).where("count > 1"), "digests")
+    total, named = cut.agg(F.count("*"), F.count("doc_id")).first()
+    bar = (total + HEAVY - 1) // HEAVY
     heavy = digests.where(F.col("count") >= bar)
     light = digests.where(F.col("count") < bar)
-    mine = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "start")
-    pick = lambda hit: hit.where(mine != F.col("first")).select("doc_id", "unit", "start", "end", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").alias("keep_unit"))
     rest = cut.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    return pick(cut.join(F.broadcast(heavy), "digest")).union(pick(rest.join(light, "digest")))
+    hit = cut.join(F.broadcast(heavy), "digest").union(rest.join(light, "digest"))
+    out = hit.where(mine != F.col("first")).select("doc_id", "unit", "start", "end", "first")
+    if named < total:
+        # rows with a null id stand at the same place where they are the first: all but one of them go as well
+        tied = hit.where(F.col("doc_id").isNull() & (mine == F.col("first"))).groupBy("digest", "unit", "start", "end", "first").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+        tied = tied.select("unit", "start", "end", "first", F.explode(F.sequence(F.lit(2), "n")).alias("nth"))
+        out = out.union(tied.select(F.lit(None).cast("long").alias("doc_id"), "unit", "start", "end", "first"))
+    return out.select("doc_id", "unit", "start", "end", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").alias("keep_unit"))
 
 
 def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs whose text lacks the removed units, with `removed_spans` (a column of that name is replaced): their [start, end)
     in the original text.
 
-    Rows that share an id share its spans."""
+    Rows that share an id share its spans; rows with a null id keep their texts, since nothing tells them apart."""
     name = fresh("id")
     spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans")).withColumnRenamed("doc_id", name)
     joined = docs.drop("removed_spans").join(spans, F.col(id_col).cast("long") == F.col(name), "left").drop(name)

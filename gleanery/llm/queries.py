@@ -64,21 +64,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_lines, op4_top_k, op5_suffix, op6_near_duplicates, op7_mixing, op8_toxicity, op9_pieces, op10_sharding)}
 
-#: Words of one blank each and lower case, as the line operator normalises units; offsets count from 0.
+#: Words of one blank each and lower case, as the line operator normalises units; offsets count from 0. Units of eight words
+#: or more count by themselves, others by their whole line and their place among its units that have words.
 OP3_SQL = r"""
-WITH line AS (
-  SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+\n*|\n+)|[^.!?\n]+') AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
 ), piece AS (
-  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS unit FROM line
-), unit AS (
-  SELECT doc_id, line, unit, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY unit) AS "end" FROM piece
-), cut AS (
-  SELECT doc_id, unit, "end" - length(line) AS start, "end", regexp_extract_all(lower(line), '[^ \t\r\n\x0b\x0c]+') AS words FROM unit
+  SELECT r, doc_id, unnest(parts) AS piece, unnest(range(len(parts))) AS unit FROM doc
+), placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY r ORDER BY unit) AS "end", regexp_extract_all(lower(piece), '[^ \t\r\n\x0b\x0c]+') AS words,
+         coalesce(sum(CASE WHEN ends_with(piece, chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  FROM piece
+), lined AS (
+  SELECT r, line, array_to_string(regexp_extract_all(lower(string_agg(piece, '' ORDER BY unit)), '[^ \t\r\n\x0b\x0c]+'), ' ') AS whole FROM placed GROUP BY r, line
+), keyed AS (
+  SELECT r, doc_id, unit, "end" - length(piece) AS start, "end",
+         CASE WHEN len(words) >= 8 THEN array_to_string(words, ' ') ELSE whole || chr(10) || row_number() OVER (PARTITION BY r, line ORDER BY unit) END AS key
+  FROM placed JOIN lined USING (r, line) WHERE len(words) > 0
 ), ranked AS (
-  SELECT doc_id, unit, start, "end", row_number() OVER w AS place,
-         first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM cut WHERE len(words) >= 8
-  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit)
+  SELECT doc_id, unit, start, "end", dense_rank() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
+  FROM keyed WINDOW w AS (PARTITION BY key ORDER BY doc_id NULLS LAST, unit, CASE WHEN doc_id IS NULL THEN "end" END, CASE WHEN doc_id IS NULL THEN r END)
 )
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
 FROM ranked WHERE place > 1
