@@ -12,6 +12,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: A second hash of its own numbers.
+_BYTE_2 = np.random.default_rng(20250301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = int(np.random.default_rng(20250302).integers(2**40, 2**62)) | 1
 
 
 class _Powers(list):
@@ -22,6 +25,7 @@ class _Powers(list):
 
 
 _powers: list[np.ndarray] = _Powers()
+_powers_2: list[np.ndarray] = _Powers()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,17 +35,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
+    held, own = (_powers_2, _BASE_2) if second else (_powers, _BASE)
+    if not held or len(held[0]) < n:
         size = max(n, 1 << 16)
         both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        for base in (own, pow(own, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             both.append(np.cumprod(steps))
-        _powers[:] = both
-    return _powers[0][:n], _powers[1][:n]
+        held[:] = both
+    return held[0][:n], held[1][:n]
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

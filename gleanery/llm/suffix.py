@@ -12,7 +12,9 @@ windows share, so equal windows meet wherever they stand:
    A minimizer with more than HOT different runs (the edges of a very frequent passage) is split window by window first,
    so that no bucket grows with it.
 
-Positions are then joined to the texts by document. Equal runs and split windows are told by 96 bits of hashes.
+Positions are then joined to the texts by document. Runs that count as equal without a look at their bytes, and windows of
+split minimizers, agree in two independent hashes of 64 bits each, besides their minimizer; other windows are compared byte
+by byte.
 
 Defined results: null and empty texts have nothing to remove; nor have texts of fewer than LENGTH bytes or rows with a null
 id (they aren't compared either); rows that repeat an id and text count as one document, and each gets its result.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import as_table, fresh, map_arrow, n_partitions, pieces, ranges, utf8
-from gleanery.llm.shingles import _BYTE, mix, powers
+from gleanery.llm.shingles import _BYTE, _BYTE_2, mix, powers
 
 LENGTH = 100
 GRAM = 24
@@ -38,7 +40,15 @@ HOT = 256
 #: A task sums up equal runs over so many runs at a time.
 FLUSH = 500_000
 _POS = np.uint64((1 << 26) - 1)
-_RUN = np.dtype([("fp", "<u8"), ("sh", "<u8"), ("doc", "<i8"), ("s0", "<i4"), ("n", "<i4")])
+_RUN = np.dtype([("fp", "<u8"), ("sh", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("s0", "<i4"), ("n", "<i4")])
+
+
+def _sums(data: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial hash, with the factors that move a difference to the start."""
+    up, down = powers(len(data) + 1, second)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_BYTE_2 if second else _BYTE)[data] * up[: len(data)], out=total[1:])
+    return total, down
 
 
 def runs(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -54,9 +64,7 @@ def runs(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.ndarray:
                 found.append(runs(data[lo:hi], np.array([0, hi - lo]), np.array([doc])))
                 found[-1]["s0"] += lo - a
         return np.concatenate(found)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    total, down = _sums(data)
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
     key = (gram & ~_POS) | np.arange(len(gram), dtype=np.uint64)
     least, span = key, 1
@@ -83,7 +91,9 @@ def runs(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.ndarray:
     out["fp"] = mix(gram[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(16)
     body = mix((total[end - 1 + LENGTH] - total[start]) * down[start])
     shape = ((at - start).astype(np.uint64) << np.uint64(16)) + (end - start).astype(np.uint64)
-    out["sh"] = mix(body + shape * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+    out["sh"] = mix(body + shape * np.uint64(0x9E3779B97F4A7C15))
+    total, down = _sums(data, second=True)
+    out["s2"] = mix((total[end - 1 + LENGTH] - total[start]) * down[start] + shape)
     owner = np.searchsorted(off, start, "right") - 1
     out["doc"] = docs[owner]
     out["s0"] = start - off[owner]
@@ -93,9 +103,9 @@ def runs(data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def summed(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(earliest of each distinct run, the later ones); the same place twice counts once."""
-    found = found[np.lexsort((found["s0"], found["doc"], found["sh"], found["fp"]))]
+    found = found[np.lexsort((found["s0"], found["doc"], found["s2"], found["sh"], found["fp"]))]
     new = np.ones(len(found), bool)
-    new[1:] = (found["fp"][1:] != found["fp"][:-1]) | (found["sh"][1:] != found["sh"][:-1])
+    new[1:] = (found["fp"][1:] != found["fp"][:-1]) | (found["sh"][1:] != found["sh"][:-1]) | (found["s2"][1:] != found["s2"][:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(found) else np.zeros(0, np.int64)
     later = ~new & ((found["doc"] != found["doc"][head]) | (found["s0"] != found["s0"][head]))
     return found[new], found[later]
@@ -113,25 +123,30 @@ def joined(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], lo[at], np.maximum.reduceat(hi, at)
 
 
+#: Bytes of a packed run: 6 of fp, 8 of each hash, 8 of doc, 4 of s0 and of n.
+_WIDTH = 38
+
+
 def _pack(found: np.ndarray) -> bytes:
     """Runs as columns, places as differences, so that the shuffle's compression finds the zeros."""
-    low = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     found = found[np.lexsort((found["s0"], found["doc"]))]
-    doc = np.diff(found["doc"], prepend=0)
-    return b"".join((low(found["fp"]), low(found["sh"]), doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), found["s0"].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), found["n"].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+    planes = lambda x, n: np.ascontiguousarray(x).view(np.uint8).reshape(-1, n).T.tobytes()
+    fp = found["fp"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    hashes = (found[k].astype("<u8").tobytes() for k in ("sh", "s2"))
+    return b"".join((fp, *hashes, planes(np.diff(found["doc"], prepend=0).astype("<i8"), 8), planes(found["s0"].astype("<i4"), 4), planes(found["n"].astype("<i4"), 4)))
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 28
+    n = len(blob) // _WIDTH
     raw = np.frombuffer(blob, np.uint8)
     out = np.zeros(n, _RUN)
-    for k, name in enumerate(("fp", "sh")):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = raw[6 * n * k : 6 * n * (k + 1)].reshape(n, 6)
-        out[name] = wide.view("<u8").ravel()
-    out["doc"] = np.cumsum(np.ascontiguousarray(raw[12 * n : 20 * n].reshape(8, n).T).view("<i8").ravel())
-    out["s0"] = np.ascontiguousarray(raw[20 * n : 24 * n].reshape(4, n).T).view("<i4").ravel()
-    out["n"] = np.ascontiguousarray(raw[24 * n :].reshape(4, n).T).view("<i4").ravel()
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = raw[: 6 * n].reshape(n, 6)
+    out["fp"] = wide.view("<u8").ravel()
+    out["sh"], out["s2"] = (raw[a * n : (a + 8) * n].copy().view("<u8") for a in (6, 14))
+    out["doc"] = np.cumsum(np.ascontiguousarray(raw[22 * n : 30 * n].reshape(8, n).T).view("<i8").ravel())
+    out["s0"] = np.ascontiguousarray(raw[30 * n : 34 * n].reshape(4, n).T).view("<i4").ravel()
+    out["n"] = np.ascontiguousarray(raw[34 * n :].reshape(4, n).T).view("<i4").ravel()
     return out
 
 
@@ -259,12 +274,12 @@ def _slices(buckets: int):
                 w = np.zeros(int((hi - lo + 1)[is_hot].sum()), _RUN)
                 length = (hi - lo + 1)[is_hot]
                 at = ranges(lo[is_hot], length)
-                up, down = powers(len(data) + 1)
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
                 place = np.repeat(off[:-1][owner[is_hot]], length) + at
-                h = mix((total[place + LENGTH] - total[place]) * down[place])
-                w["fp"], w["sh"] = h >> np.uint64(16), mix(h + np.repeat(fp[is_hot], length).astype(np.uint64)) >> np.uint64(16)
+                for name, second in (("sh", False), ("s2", True)):
+                    total, down = _sums(data, second)
+                    w[name] = mix((total[place + LENGTH] - total[place]) * down[place])
+                # windows of a minimizer meet those of the same bytes alone
+                w["fp"] = mix(w["sh"] + w["s2"]) >> np.uint64(16)
                 w["doc"], w["s0"], w["n"] = np.repeat(doc[is_hot], length), at, 1
                 hot.append(w)
                 if sum(map(len, hot)) > FLUSH:
