@@ -3,14 +3,16 @@
 All windows of LENGTH bytes are dealt out by their minimizer (the leftmost least hash of a GRAM-byte gram), which equal
 windows share, so equal windows meet wherever they stand:
 
-1. Each task cuts its texts into runs of windows with one minimizer and sums up equal runs (hash of the run's bytes) at
-   once: the earliest stays, the others are repeats. What is left goes to buckets by minimizer, as packed columns.
-2. A bucket drops minimizers that occur once, again sums up equal runs, and keeps minimizers with several different runs.
+1. Each task cuts its texts into runs of windows with one minimizer and sums up equal runs (hashes of the run's bytes) at
+   once: the earliest stays, the others are repeats. What is left goes to buckets by minimizer, as packed columns; but a
+   minimizer with more than SPLIT different runs in the task (the edges of a very frequent passage) is split window by window,
+   and only a mark goes to its bucket. A minimizer puts at most SPLIT of FLUSH runs of any task into one bucket.
+2. A bucket drops minimizers that occur once, again sums up equal runs, and keeps minimizers with several different runs;
+   those with more than HOT, or with a mark, are split window by window too.
 3. Those runs' bytes are fetched and suffix-sorted bucket by bucket, in two stages: only suffixes smaller than their
    successors are sorted directly (LENGTH bytes deep), the others are induced by scanning the buckets of first bytes.
-   Neighbours whose common prefix has LENGTH bytes are equal windows; all but the earliest are repeats.
-   A minimizer with more than HOT different runs (the edges of a very frequent passage) is split window by window first,
-   so that no bucket grows with it.
+   Neighbours whose common prefix has LENGTH bytes are equal windows; all but the earliest are repeats. Split windows meet
+   by their own hashes instead.
 
 Positions are then joined to the texts by document. Runs that count as equal without a look at their bytes, and windows of
 split minimizers, agree in two independent hashes of 64 bits each, besides their minimizer; other windows are compared byte
@@ -37,8 +39,9 @@ LENGTH = 100
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 HOT = 256
-#: A task sums up equal runs over so many runs at a time.
+#: A task sums up equal runs over so many runs at a time; a minimizer with more than SPLIT different ones among them is split at once.
 FLUSH = 500_000
+SPLIT = 64
 _POS = np.uint64((1 << 26) - 1)
 _RUN = np.dtype([("fp", "<u8"), ("sh", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("s0", "<i4"), ("n", "<i4")])
 
@@ -150,7 +153,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-REPEAT, RUNS, SLICES = 0, 1, 2
+REPEAT, RUNS, SLICES, WINDOWS = 0, 1, 2, 3
 DEALT = "bucket int, kind int, doc long, first int, last int, blob binary"
 
 
@@ -173,6 +176,15 @@ def _dealt(found: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     first, later = summed(found)
     if len(later):
         yield _repeats(later)
+    _, of, count = np.unique(first["fp"], return_inverse=True, return_counts=True)
+    hot = count[of] > SPLIT
+    if hot.any():  # their windows are dealt out one by one; a run without windows tells the bucket that others' must be as well
+        split = first[hot]
+        yield _rows(WINDOWS, (split["doc"] % 1024).astype(np.int32), split["doc"], split["s0"], split["s0"] + split["n"] - 1)
+        told = np.unique(split["fp"])
+        marks = np.zeros(len(told), _RUN)
+        marks["fp"] = told
+        first = np.concatenate((first[~hot], marks))
     if not len(first):
         return
     bucket = (mix(first["fp"]) % np.uint64(buckets)).astype(np.int64)
@@ -223,29 +235,36 @@ def _found(kind: int, fp, doc, first, last) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(np.asarray(fp, np.int64)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(first, np.int32)), pa.array(np.asarray(last, np.int32))], ["kind", "fp", "doc", "first", "last"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of runs: repeats (kind 0), and runs to compare byte by byte (1) or, of hot minimizers, by window (2)."""
+def _passing(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that belong to a bucket; repeats and windows to be dealt out go to `passed`."""
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        for of, found in ((REPEAT, 0), (WINDOWS, 2)):
+            if (kind == of).any():
+                r = b.filter(pa.array(kind == of))
+                passed.append(_found(found, np.zeros(r.num_rows), r.column("doc"), r.column("first"), r.column("last")))
+        own = (kind != REPEAT) & (kind != WINDOWS)
+        if own.any():
+            yield b.filter(pa.array(own))
 
-    def other(batches):
-        for b in batches:
-            repeat = b.column("kind").to_numpy() == REPEAT
-            if repeat.any():
-                r = b.filter(pa.array(repeat))
-                passed.append(_found(0, np.zeros(r.num_rows), r.column("doc"), r.column("first"), r.column("last")))
-            if not repeat.all():
-                yield b.filter(pa.array(~repeat))
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of runs: repeats (kind 0), and runs to compare byte by byte (1) or, of hot minimizers, by window (2)."""
     passed: list[pa.RecordBatch] = []
-    for _, blobs, _ in _by_bucket(other(batches)):
+    for _, blobs, _ in _by_bucket(_passing(batches, passed)):
         yield from passed
         passed.clear()
         first, later = summed(np.concatenate([_unpack(b) for b in blobs]))
+        split, first, later = np.unique(first["fp"][first["n"] == 0]), first[first["n"] > 0], later[later["n"] > 0]
         if len(later):
             doc, lo, hi = joined(later)
             yield _found(0, np.zeros(len(doc)), doc, lo, hi)
+        if not len(first):
+            continue
         _, inverse, count = np.unique(first["fp"], return_inverse=True, return_counts=True)
         count = count[inverse]
-        for kind, chosen in ((1, first[(count > 1) & (count <= HOT)]), (2, first[count > HOT])):
+        hot = (count > HOT) | np.isin(first["fp"], split)
+        for kind, chosen in ((1, first[(count > 1) & ~hot]), (2, first[hot])):
             if len(chosen):
                 yield _found(kind, chosen["fp"].astype(np.int64), chosen["doc"], chosen["s0"], chosen["s0"] + chosen["n"] - 1)
     yield from passed
@@ -411,17 +430,8 @@ def repeated_windows(head: np.ndarray, body: np.ndarray) -> np.ndarray:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def other(batches):
-        for b in batches:
-            repeat = b.column("kind").to_numpy() == REPEAT
-            if repeat.any():
-                r = b.filter(pa.array(repeat))
-                passed.append(_found(0, np.zeros(r.num_rows), r.column("doc"), r.column("first"), r.column("last")))
-            if not repeat.all():
-                yield b.filter(pa.array(~repeat))
-
     passed: list[pa.RecordBatch] = []
-    for _, hot, slices in _by_bucket(other(batches)):
+    for _, hot, slices in _by_bucket(_passing(batches, passed)):
         yield from passed
         passed.clear()
         later = []

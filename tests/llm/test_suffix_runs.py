@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from gleanery.llm import suffix
 from test_operators import brute_suffix
@@ -42,3 +43,19 @@ def test_one_minimizer_many_surroundings(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i: tuple(v[:4]) for i, v in brute_suffix(dict(rows)).items()}
     assert got == want and sum(v[1] > 0 for v in got.values()) > 30
+
+
+def test_marks_split_a_minimizer_everywhere(monkeypatch):
+    """What one task splits, the bucket splits for the runs of other tasks."""
+    monkeypatch.setattr(suffix, "SPLIT", 3)
+    found = np.zeros(9, suffix._RUN)
+    found["fp"], found["sh"], found["doc"], found["n"] = [5] * 6 + [6] * 3, range(9), range(9), 10
+    one = list(suffix._dealt(found, 4))
+    other = found[[0, 6]].copy()
+    other["doc"], other["sh"] = [20, 21], [50, 51]
+    two = list(suffix._dealt(other, 4))
+    rows = [r for b in one + two for r in b.to_pylist()]
+    assert sorted(r["doc"] for r in rows if r["kind"] == suffix.WINDOWS) == list(range(6))
+    rows.sort(key=lambda r: r["bucket"])
+    met = [r for b in suffix._met(iter([pa.RecordBatch.from_pylist(rows, one[0].schema)])) for r in b.to_pylist()]
+    assert sorted((r["kind"], r["doc"]) for r in met) == [(1, 6), (1, 7), (1, 8), (1, 21), *((2, d) for d in [*range(6), 20])]
