@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, which only a
+    local master can use."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="gleanery-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -29,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; drop_tables knows of it."""
+    _tables.append(f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +45,18 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def n_tables() -> int:
+    """How many tables were written so far; for drop_tables."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables written from the since-th to before the until-th, once nothing reads them any more."""
+    for path in _tables[since:until]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,8 @@ frame with its own tables. Reading walks the RIFF chunks, takes frames from idx1
 Huffman data of many frames in step, and finds shots where the grey histogram changes more than its neighbourhood does.
 
 Defined results: null text is stored like an empty one (192 blanks); equal texts give equal media; rows keep their id,
-whatever else the table has; null ids stay null.
+whatever else the table has; null ids stay null. RIFF holds sizes of 32 bits: a text whose media would pass 4 GiB (over 1 GB)
+is refused with an error.
 """
 
 from __future__ import annotations
@@ -148,6 +149,8 @@ def encode(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     stops = np.concatenate((start, [len(raw)]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         lo, hi = int(stops[a]), int(stops[b])
+        if hi - lo + 16 * (b - a) > 0xFFFF0000:
+            raise MediaError("a text is too long for RIFF's 32-bit sizes")
         index["off"][a:b] = start[a:b] - lo + 4
         rest = avi_head(b - a) + b"LIST" + struct.pack("<I", hi - lo + 4) + b"movi" + raw[lo:hi] + _chunk(b"idx1", index[a:b].tobytes())
         out.append(b"RIFF" + struct.pack("<I", len(rest) + 4) + b"AVI " + rest)
@@ -339,28 +342,45 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_arrow(rows, _encoded, "id long, media binary")
 
 
+CLIPS = "id long, clip long, first_frame long, n_frames long, start_us long, end_us long, error string"
+
+
+def _file_clips(ids: list, media: list[bytes]) -> list[tuple]:
+    _, owner, begins, micros = decode(media)
+    at = np.flatnonzero(begins)
+    end = np.append(at[1:], len(owner))
+    base = np.searchsorted(owner, np.arange(len(ids)))
+    rows, clip, before = [], 0, -1
+    for a, b in zip(at.tolist(), end.tolist(), strict=True):
+        k = int(owner[a])
+        clip, before = (clip + 1 if k == before else 0), k
+        first, us = a - int(base[k]), int(micros[k])
+        rows.append((ids[k], clip, first, b - a, first * us, (first + b - a) * us, None))
+    return rows
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in CLIPS.split(", ")]
     for part in pieces(batches, "media", 4 << 20):
-        ids = part.column("id").to_pylist()
-        _, owner, begins, micros = decode([m or b"" for m in part.column("media").to_pylist()])
-        at = np.flatnonzero(begins)
-        end = np.append(at[1:], len(owner))
-        base = np.searchsorted(owner, np.arange(len(ids)))
-        rows = {"id": [], "clip": [], "first_frame": [], "n_frames": [], "start_us": [], "end_us": []}
-        clip, before = 0, -1
-        for a, b in zip(at.tolist(), end.tolist(), strict=True):
-            k = int(owner[a])
-            clip, before = (clip + 1 if k == before else 0), k
-            first, us = a - int(base[k]), int(micros[k])
-            for name, v in zip(rows, (ids[k], clip, first, b - a, first * us, (first + b - a) * us), strict=True):
-                rows[name].append(v)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+        ids, media = part.column("id").to_pylist(), part.column("media").to_pylist()
+        try:
+            rows = _file_clips(ids, media)
+        except (MediaError, struct.error, IndexError, KeyError, ValueError):  # a file can't be read with the others: one by one
+            rows = []
+            for i, m in zip(ids, media, strict=True):
+                try:
+                    rows += _file_clips([i], [m])
+                except (MediaError, struct.error, IndexError, KeyError, ValueError) as e:
+                    rows.append((i, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "error" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of (id, media) rows, one for each shot."""
+    """Timed clip rows of (id, media) rows, one for each shot. A file that can't be read has one row with its `error` and no
+    clip; null media have none. Files of a table may differ in frame size, frames of a file may not."""
     present = media.select("id", "media").where(F.col("media").isNotNull())
-    return map_arrow(present, _clips, "id long, clip long, first_frame long, n_frames long, start_us long, end_us long")
+    return map_arrow(present, _clips, CLIPS)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
