@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import mixing, neardup, pieces, suffix, toxicity
-from gleanery.llm.common import as_table
+from gleanery.llm.common import as_table, drop_tables, n_tables
 from gleanery.llm.queries import piece_model, table
 
 
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        start = n_tables()
         docs = as_table(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, start - (k > 0), n_tables() - 1)  # what the stage read and made on its way
     return STAGES[-1][1](spark, docs, sf_dir)
