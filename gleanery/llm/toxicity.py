@@ -74,6 +74,7 @@ def grammar():
     return reduce(compose, parts)
 
 
+OTHER = "O", 0.0
 #: Runs of other tokens beyond this leave no scope open and no target near.
 GAP = max(NEGATION_SCOPE, REPORT_SCOPE, TARGET_SCOPE)
 
@@ -84,22 +85,19 @@ class Grammar:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) for s in stems})
-        self.heads = {s[: self.lengths[0]] for s in stems}
-        self.fixed = {w: c for c, ws in (("Y", TARGET), ("N", NEGATION), ("R", REPORT)) for w in ws}
+        self.fixed = {w: (c, 0.0) for c, ws in (("Y", TARGET), ("N", NEGATION), ("R", REPORT)) for w in ws}
+        #: First three letters of every insult or threat; most words are told by them.
+        self.heads = {w[:3] for w in (*words, *stems, *THREAT)}
         self.machine = grammar()
 
     def insult(self, word: str) -> float:
-        weight = self.words.get(word, 0.0)
-        if self.lengths and word[: self.lengths[0]] in self.heads:
-            weight = max(weight, *(self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)))
-        return weight
+        return max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), 0.0)
 
     def label(self, word: str) -> tuple[str, float]:
-        if kind := self.fixed.get(word):
-            return kind, 0.0
+        """Symbol and weight of a word that is not of a closed class."""
         if (w := self.insult(word)) > 0:
             return "I", w
-        return ("K", THREAT_WEIGHT) if word.startswith(THREAT) else ("O", 0.0)
+        return ("K", THREAT_WEIGHT) if word.startswith(THREAT) else OTHER
 
     def clause(self, tokens: list[tuple[str, float]]) -> tuple[float, ...]:
         """Weights of a clause's matches, by kind."""
@@ -112,8 +110,9 @@ class Grammar:
 
     def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
-        known: dict[str, tuple[str, float]] = {}
+        known: dict[str, tuple[str, float]] = {}  # insults and threats, and what begins like them
         live: set[str] = set()
+        heads, fixed = self.heads, self.fixed
         for k, text in enumerate(texts):
             text = text.lower()
             words = WORD.findall(text)
@@ -121,17 +120,18 @@ class Grammar:
             distinct = set(words)
             if len(known) > 500_000:
                 known, live = {}, set()
-            for w in distinct.difference(known):
-                known[w] = self.label(w)
-                if known[w][0] in "IK":
-                    live.add(w)
+            for w in [w for w in distinct if w[:3] in heads]:
+                if w not in known:
+                    known[w] = OTHER if w in fixed else self.label(w)
+                    if known[w][0] in "IK":
+                        live.add(w)
             if live.isdisjoint(distinct):
                 continue
             weights, sums = [], np.zeros(len(MATCHES))
             for clause in CLAUSE.split(text):
                 own = WORD.findall(clause)
                 if not live.isdisjoint(own):
-                    matched = self.clause([known.get(w) or self.label(w) for w in own])
+                    matched = self.clause([fixed.get(w) or known.get(w, OTHER) for w in own])
                     if (weight := sum(matched)) > 0:
                         weights.append(weight)
                         sums += matched
