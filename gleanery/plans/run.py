@@ -98,12 +98,16 @@ def rebuild(spark: SparkSession, config: Config, root: str, which: str | None =
         old = index.read()
         physical = index.create(rebuild=True)
         try:
+            changes = None  # all sources are written at once
             for source in spec.sources:
                 own = stored_documents(old, config.pipeline, source.id)
                 own = prepare(own) if prepare else own
-                changes = evaluated(own, config.pipeline, source.id, source.options.get("conversionErrorAction", "STOP").upper())
-                index.apply(changes.select("op", "seq", *index_columns(config.pipeline)), physical)
-                report.counts[source.id] = {"index": index.read(physical).where(F.col(config.pipeline.source_field) == source.id).count()}
+                one = evaluated(own, config.pipeline, source.id, source.options.get("conversionErrorAction", "STOP").upper()).select("op", "seq", *index_columns(config.pipeline))
+                changes = one if changes is None else changes.union(one)
+            if changes is not None:
+                index.apply(changes, physical)
+            kept = index.read(physical).groupBy(F.col(config.pipeline.source_field).alias("source")).count().collect()  # a row for each source
+            report.counts |= {source.id: {"index": next((r["count"] for r in kept if r["source"] == source.id), 0)} for source in spec.sources}
             if finish:
                 finish(index)
             index.swap(physical)

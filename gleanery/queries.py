@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+import zlib
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from gleanery.operators.evaluate import evaluated, rendered, transformed, valida
 from gleanery.plans.config import Config, Expression, FieldSpec, IndexSpec, PipelineSpec, SourceSpec
 from gleanery.plans.index import Files, Index
 from gleanery.plans.run import harvest, harvest_source, rebuild, stored_documents
-from gleanery.sources.base import Scan, open_source, raw
+from gleanery.sources.base import Scan, newest, open_source, raw
 from gleanery.sources.tables import legacy_documents, table_documents
 from gleanery.sources.web import frontier, page_links
 from gleanery.streaming.push import sessions, stream
@@ -503,13 +505,51 @@ def legacy_scan(spark, sf_dir):
     return legacy_documents(t, "legacy", "l:").select("identifier", scalars.index_text("datestamp").alias("t"), "xml")
 
 
-@query("SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%d %H:%M:%S') = strftime(ts, '%Y-%m-%d %H:%M:%S')")
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS t FROM events")
 def http_date_parse(spark, sf_dir):
     """HTTP dates read back."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     names = F.element_at(F.array(*map(F.lit, ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"))), F.dayofweek("ts"))
     text = F.concat(names, F.date_format("ts", ", dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    return e.where(scalars.http_date(text) == F.date_trunc("second", "ts")).select("event_id")
+    return e.select("event_id", scalars.oai_text(scalars.http_date(text)).alias("t"))
+
+
+@query("SELECT 'l:' || event_id AS identifier, '<e>' || event_type || '</e>' AS xml FROM events WHERE event_id % 7 <> 0")
+def deflated_legacy_scan(spark, sf_dir):
+    """An export whose XML is deflated for every other row; rows without an identifier or XML are left out."""
+    e = table(spark, sf_dir, "events")
+
+    @F.pandas_udf(T.BinaryType())
+    def deflate(text):
+        return text.map(lambda t: zlib.compress(t.encode()))
+
+    xml = F.concat(F.lit("<e>"), "event_type", F.lit("</e>"))
+    k = F.col("event_id")
+    t = e.select(
+        F.when(k % 14 != 0, k.cast("string")).alias("internal-identifier"), F.lit(0).cast("long").alias("internal-datestamp"),
+        F.when(k % 14 == 7, F.lit(None)).when(k % 2 == 0, deflate(xml)).otherwise(xml.cast("binary")).alias("internal-xml"),
+    )
+    return legacy_documents(t, "legacy", "l:").select("identifier", "xml")
+
+
+@query("""SELECT event_id AS k, '<i a="' || event_id || '"><b>' || event_type || '</b><b>x</b></i>' AS xml_field, '{"@a":"' || event_id || '","b":["' || event_type || '","x"]}' AS json_field, '<p>' || event_type || '</p>' AS xhtml_field FROM events""")
+def markup_fields(spark, sf_dir):
+    """Fields that keep their elements: as XML, as JSON, and as XHTML made by a template."""
+    e = table(spark, sf_dir, "events")
+    xml = F.concat(F.lit('<o><i a="'), F.col("event_id").cast("string"), F.lit('"><b>'), "event_type", F.lit("</b><b>x</b></i></o>"))
+    head = '<body xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><p><xsl:value-of select="/o/i/b[1]"/></p></body>'
+    spec = PipelineSpec([FieldSpec("as_xml", Expression("/o/i"), "XML"), FieldSpec("as_json", Expression("/o/i"), "JSON"), FieldSpec("as_xhtml", Expression(head, True), "XHTML")])
+    first = lambda n: F.get(n, F.lit(0))
+    c = evaluated(raw(e.select(F.col("event_id").cast("string").alias("identifier"), xml.alias("xml"))), spec, "s")
+    return c.select(F.col("id").cast("bigint").alias("k"), first("as_xml").alias("xml_field"), first("as_json").alias("json_field"), first("as_xhtml").alias("xhtml_field"))
+
+
+@query("SELECT 'copy:' || c_custkey AS identifier FROM customer WHERE c_custkey % 4 <> 0")
+def scan_without_xml(spark, sf_dir):
+    """Rows of an index table without XML are no documents; match_all takes all others."""
+    c = table(spark, sf_dir, "customer")
+    index = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit(None).cast("timestamp").alias("internal-datestamp"), F.when(F.col("c_custkey") % 4 != 0, F.lit("<c/>")).alias("xml"))
+    return table_documents(index, "copy", "copy:", json_query={"match_all": {}}).select("identifier")
 
 
 @query("SELECT role, count(*) AS n, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -574,6 +614,30 @@ def index_rebuild_alias(spark, sf_dir):
     return people_rows(index.alias("rich"))
 
 
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 10 >= 5 THEN 'new' ELSE c_name END AS name, '2020-01-10T00:00:00Z' AS watermark FROM customer""")
+def watermark_runs(spark, sf_dir):
+    """The first run's newest date is the second run's watermark: only later documents are evaluated and written."""
+    config, root = people_config(), scratch(spark)
+    index, source = Index(spark, root, config.indexes[0], PEOPLE), config.indexes[0].sources[0]
+    day = F.timestamp_add("DAY", (F.col("seq") % 10).cast("int"), F.lit("2020-01-01").cast("timestamp"))
+    first = people(spark, sf_dir).withColumn("datestamp", day).where("seq % 10 < 5")
+    harvest_source(spark, index, source, index.create(), lambda *a: Scan(first, complete=False, watermark=newest(first)))
+    second = people(spark, sf_dir, F.lit("new")).withColumn("datestamp", day)
+    harvest_source(spark, index, source, index.create(), lambda *a: Scan(second, complete=False, watermark=newest(second)))
+    return people_rows(index.read()).select("k", "name", F.lit(index.metadata(source.id)["lastHarvested"]).alias("watermark"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
+def excluded_columns(spark, sf_dir):
+    """The stored document lacks the columns that the mapping excludes."""
+    spec = replace(PEOPLE, mapping={"_source": {"excludes": ["balance", "*datestamp", "xml", "*source"]}})
+    config, root = replace(people_config(), pipeline=spec), scratch(spark)
+    index = Index(spark, root, config.indexes[0], spec)
+    harvest_source(spark, index, config.indexes[0].sources[0], index.create(), lambda *a: Scan(people(spark, sf_dir)))
+    view = index.source_view()
+    return view.withColumn("name", F.get("name", F.lit(0)))
+
+
 @query("SELECT 'file:' || n_nationkey || '.xml' AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'zip:a/' || n_nationkey || '.xml', n_name FROM nation WHERE n_nationkey % 2 = 1")
 def directory_and_zip(spark, sf_dir):
     """A directory and an archive feed one index; names must match a pattern."""

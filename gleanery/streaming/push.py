@@ -53,7 +53,8 @@ def applied(batch: DataFrame, config: Config, indexes: dict[str, Index]) -> None
                 latest = fresh.where("op = 'index'").agg(F.max("last_modified")).first()[0]
                 if latest is not None:
                     latest = latest.replace(tzinfo=latest.tzinfo or timezone.utc)
-                    index.save_metadata(source.id, {"pushedUntil": time_text(latest)})
+                    before = stored_time(index.metadata(source.id).get("pushedUntil"))
+                    index.save_metadata(source.id, {"pushedUntil": time_text(max(latest, before) if before else latest)})
     finally:
         batch.unpersist()
 
