@@ -6,10 +6,13 @@ import atexit
 import io
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 import zlib
 from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -676,6 +679,73 @@ def oai_static_scan(spark, sf_dir):
     return scan.documents.select("identifier", "deleted", "xml")
 
 
+class _Repository:
+    """A small OAI-PMH repository for the query below: pages of ten records, a token, one busy answer, changes since a date."""
+
+    def __init__(self, host: str, rows: list):
+        busy = [True]
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802
+                asked = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+                if busy and busy.pop():
+                    self.send_response(503)
+                    self.send_header("Retry-After", "0")
+                    self.send_header("Content-Length", "0")
+                    self.end_headers()
+                    return
+                body = f'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><responseDate>2020-03-01T00:00:00Z</responseDate>{self.answer(asked)}</OAI-PMH>'.encode()
+                self.send_response(200)
+                self.send_header("Content-Type", "text/xml")
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def answer(self, asked: dict[str, str]) -> str:
+                if asked["verb"] == "Identify":
+                    return "<Identify><granularity>YYYY-MM-DDThh:mm:ssZ</granularity></Identify>"
+                changed, _, start = asked.get("resumptionToken", ("yes" if "from" in asked else "no") + "/0").partition("/")
+                own = [r for r in rows if changed == "no" or r["n_nationkey"] % 3 == 0 or r["n_nationkey"] == 1]
+                at = int(start)
+                token = f"<resumptionToken>{changed}/{at + 10}</resumptionToken>" if at + 10 < len(own) else ""
+                return "<ListRecords>" + "".join(self.record(r, changed == "yes") for r in own[at : at + 10]) + token + "</ListRecords>"
+
+            def record(self, r, changed: bool) -> str:
+                k = r["n_nationkey"]
+                gone = k == 1 if changed else k % 5 == 0
+                head = f"<header{' status=\"deleted\"' if gone else ''}><identifier>{k}</identifier><datestamp>2020-0{1 + changed}-01T00:00:00Z</datestamp><setSpec>s{r['n_regionkey']}</setSpec></header>"
+                return f"<record>{head}{'' if gone else f'<metadata><c xmlns=\"\"><n>{"new" if changed else r["n_name"]}</n></c></metadata>'}</record>"
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer((host, 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://{host}:{self.server.server_address[1]}/oai"
+
+    def stop(self) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+@query("""SELECT 'o:' || n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE n_name END AS name FROM nation
+WHERE n_regionkey IN (0, 1, 2) AND n_nationkey <> 1 AND (n_nationkey % 5 <> 0 OR n_nationkey % 3 = 0)""")
+def oai_harvest(spark, sf_dir):
+    """A repository harvested twice: pages, tombstones, sets and a busy answer; then only what changed since."""
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    repository = _Repository(host, table(spark, sf_dir, "nation").orderBy("n_nationkey").collect())  # 25 rows
+    try:
+        options = {"baseUrl": repository.url, "metadataPrefix": "c", "setSpec": "s0, s1; s2", "identifierPrefix": "o:", "retryAfterSeconds": "0"}
+        config, root = Config(PEOPLE, [IndexSpec("oai", ("_v1", "_v2"), sources=[SourceSpec("o", "oai", options)])]), scratch(spark)
+        for _ in range(2):
+            report = harvest(spark, config, root)
+            if report.errors:
+                raise RuntimeError(str(report.errors))
+    finally:
+        repository.stop()
+    return Index(spark, root, config.indexes[0], PEOPLE).read().select("id", F.get("name", F.lit(0)).alias("name"))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS name FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def push_stream(spark, sf_dir):
     """Pushed changes through a stream: the last change of each id wins, some are deletes."""
