@@ -24,6 +24,8 @@ def main() -> int:
     p.add_argument("--port", type=int, default=8089)
     args = p.parse_args()
     spark = SparkSession.builder.appName("gleanery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark.sparkContext.getCheckpointDir() is None:  # crawls write their levels there
+        spark.sparkContext.setCheckpointDir(f"{args.root}/checkpoints")
     config = read_config(args.config)
     if args.command == "aliases":
         update_aliases(spark, config, args.root, args.which)

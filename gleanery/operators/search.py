@@ -29,6 +29,32 @@ def _like(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
+def _phrase(words: list[str]) -> str:
+    """A pattern of whole words in a row, for lower-case text."""
+    return r"(?U)(^|\W)" + r"\W+".join(re.escape(w) for w in words) + r"(\W|$)"
+
+
+def _match(schema: T.StructType, field: str, value, phrase: bool) -> Column:
+    """match: any of the words (all with operator and), each in any of the values; match_phrase: the words in a row in one
+    value. Words are unanalysed, in any case; other than text fields are compared whole. A text without words fits nothing."""
+    options = value if isinstance(value, Mapping) else {"query": value}
+    if unknown := set(options) - {"query", "operator", "boost"}:
+        raise QueryError(f"unknown in match: {sorted(unknown)}")
+    kind = next((f.dataType for f in schema.fields if f.name == field), None)
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if kind is not None and not isinstance(kind, T.StringType):
+        return _any(schema, field, lambda c: c == F.lit(options["query"]).try_cast(kind))
+    words = re.findall(r"\w+", str(options["query"]).lower())
+    if not words:
+        return F.lit(False)
+    found = [_any(schema, field, lambda c, w=w: F.lower(c).rlike(_phrase(w))) for w in ([words] if phrase else [[w] for w in words])]
+    every = str(options.get("operator", "or")).lower() == "and"
+    out = found[0]
+    for one in found[1:]:
+        out = out & one if every else out | one
+    return out
+
+
 def _one(body: Mapping, kind: str) -> tuple[str, object]:
     if not isinstance(body, Mapping) or len(body) != 1:
         raise QueryError(f"{kind} needs one field")
@@ -36,7 +62,8 @@ def _one(body: Mapping, kind: str) -> tuple[str, object]:
 
 
 def compile_json(query: str | Mapping, schema: T.StructType, id_col: str = "id") -> Column:
-    """match_all, term, terms, range, exists, prefix, wildcard, ids, bool, constant_score and query_string; else an error."""
+    """match_all, match_none, match, match_phrase, term, terms, range, exists, prefix, wildcard, regexp (whole values, Java's
+    syntax), ids, bool, constant_score and query_string; else an error."""
     q = json.loads(query) if isinstance(query, str) else query
     kind, body = _one(q, "a query")
     again = lambda x: compile_json(x, schema, id_col)
@@ -78,6 +105,11 @@ def compile_json(query: str | Mapping, schema: T.StructType, id_col: str = "id")
     if kind == "wildcard":
         value = value["value"] if isinstance(value, Mapping) else value
         return _any(schema, field, lambda c: c.cast("string").rlike(_like(value)))
+    if kind in ("match", "match_phrase"):
+        return _match(schema, field, value, kind == "match_phrase")
+    if kind == "regexp":
+        value = value["value"] if isinstance(value, Mapping) else value
+        return _any(schema, field, lambda c: c.cast("string").rlike(rf"^(?:{value})\z"))
     if kind == "range":
         ops = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v}
         if unknown := set(value) - set(ops) - {"format", "boost", "time_zone"}:

@@ -255,6 +255,12 @@ def json_range_query(spark, sf_dir):
     return search.query(table(spark, sf_dir, "events"), {"range": {"value": {"gte": 20, "lt": 40}}}).select("event_id")
 
 
+@query(r"SELECT p_partkey FROM part WHERE regexp_matches(lower(p_type), '(^|\W)(promo|economy)(\W|$)') AND regexp_matches(lower(p_brand), '^brand\W+1.$') OR regexp_full_match(p_name, '[a-d].*')")
+def match_regexp_query(spark, sf_dir):
+    q = {"bool": {"should": [{"bool": {"must": [{"match": {"p_type": "PROMO, economy"}}, {"regexp": {"p_brand": "Brand#1."}}]}}, {"regexp": {"p_name": "[a-d].*"}}]}}
+    return search.query(table(spark, sf_dir, "part"), q).select("p_partkey")
+
+
 @query("SELECT p_partkey FROM part WHERE p_type LIKE 'A%' OR regexp_matches(p_brand, '^Brand#.3$')")
 def prefix_wildcard_query(spark, sf_dir):
     q = {"bool": {"should": [{"prefix": {"p_type": "A"}}, {"wildcard": {"p_brand": "Brand#?3"}}]}}

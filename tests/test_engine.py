@@ -192,7 +192,13 @@ def test_search(spark):
     ids = lambda **k: sorted(r["id"] for r in search.query(t, **k).collect())
     assert ids(query_string="fox") == ["1", "2"] and ids(query_string="text:red OR n:[8 TO *]") == ["1", "2"] and ids(query_string='"red fox" AND NOT n:9') == ["1"] and ids(query_string="tags:c") == ["2"] and ids(query_string="-tags:a") == ["2", "3"] and ids(query_string="text:bl*") == ["2"]
     assert ids(json_query={"bool": {"must_not": {"exists": {"field": "n"}}}}) == ["3"] and ids(json_query={"range": {"n": {"gt": 5}}}) == ["2"] and ids(json_query={"term": {"tags": "b"}}) == ["1"] and ids() == ["1", "2", "3"]
-    for bad in ({"fuzzy": {"text": "x"}}, {"range": {"n": {"near": 1}}}):
+    wanted = {
+        "any": ({"match": {"text": "RED whale"}}, ["1"]), "all": ({"match": {"text": {"query": "fox, blue", "operator": "and"}}}, ["2"]), "values": ({"match": {"tags": {"query": "a b", "operator": "and"}}}, ["1"]),
+        "row": ({"match_phrase": {"text": "red fox"}}, ["1"]), "order": ({"match_phrase": {"text": "fox red"}}, []), "part": ({"match": {"text": "fo"}}, []), "none": ({"match": {"text": "!"}}, []), "number": ({"match": {"n": "9"}}, ["2"]),
+        "whole": ({"regexp": {"text": "[Rb].* fox"}}, ["2"]), "piece": ({"regexp": {"text": "fox"}}, []), "unknown field": ({"match": {"q": "x"}}, []),
+    }
+    assert {k: ids(json_query=q) for k, (q, _) in wanted.items()} == {k: v for k, (_, v) in wanted.items()}
+    for bad in ({"fuzzy": {"text": "x"}}, {"match": {"text": {"query": "x", "slop": 1}}}, {"range": {"n": {"near": 1}}}):
         with pytest.raises(search.QueryError):
             search.query(t, bad)
     with pytest.raises(search.QueryError):
